@@ -93,6 +93,22 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def with_similarity(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """Every vector's cosine to one query, row by row; NaN where lengths differ."""
+    matrix = unit_rows(np.asarray([query], dtype=np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = _dense(batch.column("embedding"), matrix.shape[1])
+            sims = np.full(batch.num_rows, np.nan)
+            sims[rows] = unit_rows(found) @ matrix[0]
+            kept = [batch.column(n) for n in ("content_id", "url", "title")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sims)], names=_HIT_NAMES[1:])
+
+    narrow = vectors.select("content_id", "url", "title", "embedding")
+    return narrow.mapInArrow(run, HIT_SCHEMA.removeprefix("query_id string, "))
+
+
 def cosine_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k vectors nearest to one query vector, best first."""
     matrix = unit_rows(np.asarray([query], dtype=np.float64))

@@ -38,6 +38,18 @@ def _default_if_absent(value: Column, key: str, default: str) -> Column:
     return F.when(_present(value, key), _text(value, key)).otherwise(default)
 
 
+def _counts(value: Column, key: str) -> Column:
+    """Present and neither null, empty text nor the number zero."""
+    zero = ~_is_text(value, key) & (F.try_variant_get(value, f"$.{key}", "double") == 0)
+    return F.coalesce((_text(value, key) != "") & ~F.coalesce(zero, F.lit(False)), F.lit(False))
+
+
+def _integer(value: Column, key: str) -> Column:
+    """Integer text or a JSON number (its whole part); anything else is null."""
+    number = F.try_variant_get(value, f"$.{key}", "int")
+    return F.when(_is_text(value, key), safe_int(_text(value, key))).otherwise(number)
+
+
 def _items(pages: DataFrame) -> DataFrame:
     carried = [c for c in pages.columns if c != "body"]
     listed = F.try_variant_get(F.try_parse_json(F.col("body")), "$.data", "array<variant>")
@@ -74,12 +86,9 @@ def api_items(pages: DataFrame) -> DataFrame:
         published.alias("published_date"),
         date_status(non_blank(date_text), published).alias("date_status"),
         _text(item, "thumbnail").alias("thumbnail"),
-        safe_int(
-            F.coalesce(
-                F.nullif(F.nullif(_text(item, "contentLength"), F.lit("")), F.lit("0")),
-                _text(item, "content_length"),
-            )
-        ).alias("content_length"),
+        F.when(_counts(item, "contentLength"), _integer(item, "contentLength"))
+        .otherwise(_integer(item, "content_length"))
+        .alias("content_length"),
         F.lit(None).cast("string").alias("league"),
         F.lit(None).cast("string").alias("signal_type"),
         F.lit("api").alias("source_type"),

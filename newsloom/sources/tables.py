@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from newsloom.operators.upsert import corpus_changes
 from newsloom.schemas import CORPUS
 from newsloom.session import materialize
+from newsloom.sources.files import write_jsonl
 
 LOG_SCHEMA = "commit bigint, rewritten array<int>, tag string"
 
@@ -79,8 +80,14 @@ class CorpusTable:
     def read(self) -> DataFrame:
         return self._live(_state(self.spark, self.root)).drop("ub")
 
-    def upsert(self, batch: DataFrame, tag: str | None = None, batch_ts=None) -> int:
-        """Apply an ordered batch. A ``tag`` seen before makes the call a no-op."""
+    def upsert(
+        self, batch: DataFrame, tag: str | None = None, batch_ts=None, jsonl_path: str | None = None
+    ) -> int:
+        """Apply an ordered batch. A ``tag`` seen before makes the call a no-op.
+
+        With ``jsonl_path`` the rows written are also kept as JSON lines, in a folder of
+        their own per commit, before the commit becomes visible.
+        """
         if tag is not None and has_tag(self.spark, self.root, tag):
             return 0
         state = _state(self.spark, self.root)
@@ -97,6 +104,8 @@ class CorpusTable:
         # A plain hash shuffle on the partition column, salted so that a bucket may use several tasks.
         spread = new.repartition("ub", F.pmod(F.xxhash64("content_id"), F.lit(4)))
         spread.write.mode("overwrite").partitionBy("ub").parquet(f"{self.root}/rows/commit={commit}")
+        if jsonl_path is not None:
+            write_jsonl(changes.drop("is_update", "ub"), f"{jsonl_path}/commit={commit}", "overwrite")
         _append_log(self.spark, self.root, commit, rewritten, tag)
         return commit
 

@@ -11,7 +11,6 @@ from pyspark.sql.types import StructType
 
 from newsloom.functions.urls import normalize_url
 from newsloom.session import materialize
-from newsloom.sources.files import write_jsonl
 from newsloom.sources.tables import CorpusTable, has_tag
 
 
@@ -36,9 +35,7 @@ def ingest_stream(
         if has_tag(table.spark, table.root, tag):
             return
         rows = materialize(to_batch(micro_batch), "micro-batch")
-        table.upsert(rows, tag=tag)
-        if jsonl_path is not None:
-            write_jsonl(rows.drop("seq"), f"{jsonl_path}/batch={batch_id}")
+        table.upsert(rows, tag=tag, jsonl_path=jsonl_path)
 
     return (
         items.writeStream.foreachBatch(apply)
