@@ -5,12 +5,15 @@ documents -> articles -> corpus; embeddings -> vectors; pages -> discovered item
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.config import TRANSFER_TERMS, TREND_TERMS
 from newsloom.functions import text, topics
 from newsloom.functions.text import WHITESPACE
+from newsloom.session import work_path
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -27,8 +30,28 @@ def sql_time(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per application and input folder, then read.
+
+    The corpus is a stored table that queries scan; this is what lets their filters and
+    column choices reach the files.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        path = work_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    return shape_articles(table(spark, folder, "documents"), table(spark, folder, "events"))
+    def build() -> DataFrame:
+        return shape_articles(table(spark, folder, "documents"), table(spark, folder, "events"))
+
+    return stored(spark, folder, "articles", build)
 
 
 def shape_articles(docs: DataFrame, raw_events: DataFrame) -> DataFrame:
@@ -82,10 +105,17 @@ articles as (select *, {SIGNAL_SQL} as signal_type from titled)"""
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """One article per content: the first in sequence. Chosen on narrow keys."""
-    rows = articles(spark, folder)
-    first = rows.groupBy("content_id").agg(F.min("seq").alias("seq"))
-    return rows.join(first.select("seq"), "seq", "left_semi").drop("text")
+    """One article per content: the first in sequence. Chosen on narrow keys.
+
+    Files are sorted by date, so date filters skip row groups.
+    """
+
+    def build() -> DataFrame:
+        rows = articles(spark, folder)
+        first = rows.groupBy("content_id").agg(F.min("seq").alias("seq"))
+        return rows.join(first.select("seq"), "seq", "left_semi").drop("text").sortWithinPartitions("date")
+
+    return stored(spark, folder, "corpus", build)
 
 
 CORPUS_SQL = ARTICLES_SQL + """,
@@ -97,17 +127,22 @@ corpus as (
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings filed under the content id of their article; others stay without one."""
-    meta = corpus(spark, folder).select("seq", "content_id", "url", "title")
-    joined = table(spark, folder, "embeddings").join(meta, F.col("vec_id") == F.col("seq"), "left")
-    own_id = F.sha1(F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
-    return joined.select(
-        "vec_id",
-        F.coalesce("content_id", own_id).alias("content_id"),
-        F.when(F.col("vec_id") % 3 == 0, F.lit("")).otherwise(F.coalesce("url", F.lit(""))).alias("url"),
-        F.when(F.col("vec_id") % 2 == 0, F.col("title")).alias("title"),
-        "embedding",
-        "label",
-    )
+
+    def build() -> DataFrame:
+        meta = corpus(spark, folder).select("seq", "content_id", "url", "title")
+        joined = table(spark, folder, "embeddings").join(meta, F.col("vec_id") == F.col("seq"), "left")
+        own_id = F.sha1(F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
+        shown = F.when(F.col("vec_id") % 3 == 0, F.lit("")).otherwise(F.coalesce("url", F.lit("")))
+        return joined.select(
+            "vec_id",
+            F.coalesce("content_id", own_id).alias("content_id"),
+            shown.alias("url"),
+            F.when(F.col("vec_id") % 2 == 0, F.col("title")).alias("title"),
+            "embedding",
+            "label",
+        )
+
+    return stored(spark, folder, "vectors", build)
 
 
 VECTORS_SQL = CORPUS_SQL + """,

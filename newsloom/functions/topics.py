@@ -15,6 +15,7 @@ from newsloom.config import (
     TREND_TERMS,
     TRANSFER_TERMS,
 )
+from newsloom.functions.binding import let
 
 
 def _minimal(terms: tuple[str, ...]) -> list[str]:
@@ -42,7 +43,7 @@ def signal_of(text: Column) -> Column:
 
 def classify_signal(title: Column, excerpt: Column, keywords: Column, existing: Column | None = None) -> Column:
     """Story class from title, excerpt and keyword list; a non-empty existing class wins."""
-    fresh = signal_of(haystack(title, excerpt, F.concat_ws(" ", keywords)))
+    fresh = let(haystack(title, excerpt, F.concat_ws(" ", keywords)), signal_of)
     return fresh if existing is None else F.coalesce(F.nullif(existing, F.lit("")), fresh)
 
 
@@ -53,7 +54,7 @@ def is_topic_article(
     """Football article: by its league/bucket key, else by any football term in its text."""
     key = F.coalesce(F.nullif(league, F.lit("")), F.nullif(bucket, F.lit("")), F.lit(""))
     text = haystack(title, excerpt, content, publisher_name, F.concat_ws(" ", keywords))
-    return key.isin(*LEAGUE_KEYS) | mentions_any(text, FOOTBALL_TERMS)
+    return key.isin(*LEAGUE_KEYS) | let(text, lambda t: mentions_any(t, FOOTBALL_TERMS))
 
 
 def league_label(league: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.config import TRACKING_PARAMS
+from newsloom.functions.binding import let
 from newsloom.functions.text import strip
 
 _HAS_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
@@ -44,10 +45,7 @@ def _clean_query(query: Column) -> Column:
     )
 
 
-def normalize_url(url: Column) -> Column:
-    """Canonical form of a URL for duplicate detection; null or empty gives ''."""
-    full = F.when(url.rlike(_HAS_SCHEME), url).otherwise(F.concat(F.lit("https://"), url))
-    full = F.regexp_replace(full, r"[\t\r\n]", "")
+def _assemble(full: Column) -> Column:
     scheme = F.lower(F.regexp_extract(full, _PARTS, 1))
     netloc = F.lower(F.regexp_extract(full, _PARTS, 2))
     netloc = (
@@ -55,15 +53,24 @@ def normalize_url(url: Column) -> Column:
         .when(scheme == "https", F.regexp_replace(netloc, ":443$", ""))
         .otherwise(netloc)
     )
-    path = F.regexp_extract(full, _PARTS, 3)
-    # An empty parameter part on the last path segment disappears.
-    path = F.regexp_replace(path, r"(/[^/;]*);$", "$1")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    raw_query = F.regexp_extract(full, _PARTS, 4)
-    query = F.when(raw_query == "", F.lit("")).otherwise(_clean_query(raw_query))
-    whole = F.concat(
-        scheme, F.lit("://"), netloc, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
+    # An empty parameter part on the last path segment disappears; an empty path is '/'.
+    path = F.regexp_replace(F.regexp_extract(full, _PARTS, 3), r"(/[^/;]*);$", "$1")
+    path = F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
+    query = let(
+        F.regexp_extract(full, _PARTS, 4),
+        lambda raw: F.when(raw == "", raw).otherwise(let(_clean_query(raw), _with_mark)),
     )
+    return F.concat(scheme, F.lit("://"), netloc, path, query)
+
+
+def _with_mark(query: Column) -> Column:
+    return F.when(query == "", query).otherwise(F.concat(F.lit("?"), query))
+
+
+def normalize_url(url: Column) -> Column:
+    """Canonical form of a URL for duplicate detection; null or empty gives ''."""
+    full = F.when(url.rlike(_HAS_SCHEME), url).otherwise(F.concat(F.lit("https://"), url))
+    whole = let(F.regexp_replace(full, r"[\t\r\n]", ""), _assemble)
     return F.when(F.coalesce(url, F.lit("")) == "", F.lit("")).otherwise(whole)
 
 
