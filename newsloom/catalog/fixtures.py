@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,13 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     column choices reach the files.
     """
     key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _STORED:
-        path = work_path(spark, name)
-        build().write.parquet(path)
-        _STORED[key] = path
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:
+            pass  # the working folder was emptied: write the table again
+    _STORED[key] = work_path(spark, name)
+    build().write.parquet(_STORED[key])
     return spark.read.parquet(_STORED[key])
 
 

@@ -77,7 +77,8 @@ def extracted_length(spark, folder):
 
 @query("classify_signal", f"with {ARTICLES_SQL} select seq, signal_type from articles")
 def classify_signal(spark, folder):
-    return articles(spark, folder).select("seq", "signal_type")
+    fresh = topics.classify_signal(F.col("title"), F.col("content"), F.array("bucket", "source_type"))
+    return articles(spark, folder).select("seq", fresh.alias("signal_type"))
 
 
 _TOPIC_TEXT = "lower(concat_ws(' ', title, content, content, publisher_name, bucket))"

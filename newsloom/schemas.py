@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-DISCOVERED = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "int": T.IntegerType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema from "name type, name type"; unlike DDL parsing it needs no session."""
+    named = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in named])
+
+
+DISCOVERED = _struct(
     "url string, title string, excerpt string, paywall boolean, authors array<string>, "
     "keywords array<string>, publisher_name string, published_date timestamp, thumbnail string, "
     "content_length int, league string, signal_type string, source_type string, source_feed string"
 )
 
-ARTICLES = T.StructType.fromDDL(
+ARTICLES = _struct(
     "url string, content_id string, title string, excerpt string, paywall boolean, "
     "authors array<string>, keywords array<string>, thumbnail string, content_length int, "
     "extracted_content_length int, content string, published_date timestamp, publisher_name string, "
@@ -18,13 +34,13 @@ ARTICLES = T.StructType.fromDDL(
     "source_feed string, crawl_ts timestamp"
 )
 
-CORPUS = T.StructType.fromDDL(
+CORPUS = _struct(
     "url string, publisher_name string, date timestamp, content_id string, title string, "
     "content string, bucket string, league string, signal_type string, source_type string, "
     "source_feed string, inserted_at timestamp"
 )
 
-VECTORS = T.StructType.fromDDL(
+VECTORS = _struct(
     "content_id string, url string, title string, embedding array<float>, embedded_at timestamp"
 )
 
