@@ -114,35 +114,36 @@ def _won_earlier():
 
 
 def _settle(
-    open_keys: DataFrame, shared: DataFrame | None, quotas: DataFrame, used: DataFrame, limits: Limits, rows: int
-) -> DataFrame:
-    """Repeat ``_decide`` until the set of blocked offers is stable."""
-    blocked = None
+    open_keys: DataFrame, shared: DataFrame | None, guess: DataFrame | None, quotas: DataFrame, used: DataFrame,
+    limits: Limits, rows: int,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Repeat ``_decide`` until the set of blocked offers is stable: (accepted, blocked).
+
+    ``guess`` is where to start, such as what the previous epoch ended with.
+    """
+    if shared is None:
+        return materialize(_decide(open_keys, None, quotas, used, limits, rows), "admission"), None
+    offers = (
+        open_keys.join(shared, "url_norm", "left_semi")
+        .groupBy("bucket", "bucket_pos", "url_norm")
+        .agg(F.min("page").alias("page"))
+    )
+    blocked = guess
     while True:
         accepted = materialize(_decide(open_keys, blocked, quotas, used, limits, rows), "admission")
-        if shared is None:
-            return accepted
         place = F.struct("page", "bucket_pos", "bucket")
         winners = accepted.join(shared, "url_norm", "left_semi").groupBy("url_norm").agg(F.min(place).alias("won"))
-        offers = (
-            open_keys.join(shared, "url_norm", "left_semi")
-            .groupBy("bucket", "bucket_pos", "url_norm")
-            .agg(F.min("page").alias("page"))
-        )
         # An offer is blocked by an accepted offer of its URL that came earlier elsewhere.
-        losing = (
-            offers.join(winners, "url_norm")
-            .where((F.col("won.bucket") != F.col("bucket")) & _won_earlier())
-            .select("bucket", "url_norm")
-        )
-        losing = materialize(losing, "blocked")
-        if losing.isEmpty() if blocked is None else _same(losing, blocked):
-            return accepted
-        blocked = losing
-
-
-def _same(left: DataFrame, right: DataFrame) -> bool:
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+        won = F.col("won").isNotNull() & (F.col("won.bucket") != F.col("bucket")) & _won_earlier()
+        held = F.lit(False)
+        judged = offers.join(winners, "url_norm", "left")
+        if blocked is not None:
+            judged = judged.join(blocked.withColumn("_held", F.lit(True)), ["bucket", "url_norm"], "left")
+            held = F.coalesce("_held", F.lit(False))
+        judged = materialize(judged.select("bucket", "url_norm", F.coalesce(won, F.lit(False)).alias("now"), held.alias("was")), "offers")
+        if judged.where(F.col("now") != F.col("was")).isEmpty():
+            return accepted, blocked
+        blocked = judged.where("now").select("bucket", "url_norm")
 
 
 def _page_counts(totals: DataFrame, open_keys: DataFrame, accepted: DataFrame, start: tuple[int, int]) -> DataFrame:
@@ -286,6 +287,7 @@ def admit_adaptive(
     walk = _Walk(states, limits)
     start: tuple[int, int] | None = (0, 0)
     kept: list[DataFrame] = []
+    blocked = None
     while start is not None:
         names = [s.name for s in walk.active()]
         open_keys = eligible.where(F.col("bucket").isin(names) & _after(start))
@@ -299,7 +301,7 @@ def admit_adaptive(
             [(s.name, domain_cap(s.quota), s.quota - s.count) for s in states],
             "bucket string, cap int, open_quota int",
         )
-        accepted = _settle(open_keys, shared, quotas, used, limits, bound)
+        accepted, blocked = _settle(open_keys, shared, blocked, quotas, used, limits, bound)
         counts = _page_counts(totals, open_keys, accepted, start).toLocalIterator()
         start = walk.run(counts, start, counted_upto)
         kept.append(accepted if walk.end is None else accepted.where(~_after(walk.end)))

@@ -19,12 +19,15 @@ def hint_small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def anti_join_seen(items: DataFrame, seen: DataFrame) -> DataFrame:
-    """Items whose normalized URL is not persisted yet. ``seen`` holds raw URLs.
+    """Items whose normalized URL is not persisted yet.
+
+    ``seen`` holds raw URLs, or their stored normal form in ``url_norm``.
 
     ``items`` should be down to one row per ``url_norm`` already, so that no hot URL
     travels to one task.
     """
-    known = seen.select(normalize_url(F.col("url")).alias("url_norm"))
+    stored = "url_norm" in seen.columns
+    known = seen.select("url_norm") if stored else seen.select(normalize_url(F.col("url")).alias("url_norm"))
     return items.join(known, "url_norm", "left_anti")
 
 
@@ -71,15 +74,19 @@ def hydrate_hits(hits: DataFrame, corpus: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def first_page_per_url(pages: DataFrame) -> DataFrame:
-    """Pages with ``url_norm``, one per normalized URL (the lowest ``page_id``).
+def wanted_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url_norm, html) of the pages the items need, one per normalized URL.
 
-    The choice is made on (url_norm, page_id) alone; page bodies never enter the shuffle
-    of the choice.
+    Which page serves a URL (the lowest ``page_id``) is settled on narrow columns. A small
+    set of items is then broadcast by size, so page bodies are not shuffled.
     """
-    keyed = pages.withColumn("url_norm", normalize_url(F.col("url")))
-    chosen = keyed.groupBy("url_norm").agg(F.min("page_id").alias("page_id"))
-    return keyed.join(chosen, ["url_norm", "page_id"], "left_semi")
+    narrow = pages.select("page_id", normalize_url(F.col("url")).alias("url_norm"))
+    chosen = (
+        narrow.join(items.select("url_norm"), "url_norm", "left_semi")
+        .groupBy("url_norm")
+        .agg(F.min("page_id").alias("page_id"))
+    )
+    return pages.select("page_id", "html").join(chosen, "page_id").select("url_norm", "html")
 
 
 def attach_page_text(items: DataFrame, pages: DataFrame, text: Column) -> DataFrame:
@@ -87,8 +94,7 @@ def attach_page_text(items: DataFrame, pages: DataFrame, text: Column) -> DataFr
 
     ``text`` is the extraction expression over the page's ``html``.
     """
-    bodies = first_page_per_url(pages).select("url_norm", "html")
-    joined = items.join(bodies, "url_norm", "left")
+    joined = items.join(wanted_pages(items, pages), "url_norm", "left")
     extracted = F.when(~F.coalesce("paywall", F.lit(False)), text)
     return joined.withColumn(
         "content", choose_content(F.col("paywall"), extracted, F.col("excerpt"))

@@ -44,12 +44,47 @@ def article_projection(df: DataFrame, truncate: bool = False) -> DataFrame:
     )
 
 
+SHALLOW_OFFSET = 10_000
+_UNITS = ("day", "hour", "minute", "second")
+
+
+def _narrow_to_page(rows: DataFrame, offset: int, limit: int) -> tuple[DataFrame, int]:
+    """The rows around a deep page, and the offset left inside them.
+
+    Counts per day, then per hour, minute and second of the day the page falls into,
+    tell how many rows lie in front; only the units the page touches are sorted.
+    """
+    for unit in _UNITS:
+        if offset <= SHALLOW_OFFSET:
+            break
+        bucket = F.unix_micros(F.date_trunc(unit, "date"))
+        counts = rows.groupBy(bucket.alias("at")).agg(F.count("*").alias("n")).orderBy(F.col("at").desc_nulls_last())
+        before, first, last, seen = 0, None, None, 0
+        for row in counts.toLocalIterator():
+            if first is None and seen + row["n"] > offset:
+                first, before = row, seen
+            seen += row["n"]
+            last = row
+            if first is not None and seen >= offset + limit:
+                break
+        if first is None:
+            return rows.where(F.lit(False)), 0
+        inside = F.lit(False)
+        if first["at"] is not None:
+            newest = bucket <= F.lit(first["at"])
+            inside = newest if last["at"] is None else newest & (bucket >= F.lit(last["at"]))
+        if last["at"] is None:
+            inside = inside | F.col("date").isNull()
+        rows, offset = rows.where(inside), offset - before
+    return rows, offset
+
+
 def browse_articles(corpus: DataFrame, limit: int = 10, offset: int = 0, **filters) -> DataFrame:
     """One page of the filtered corpus, newest first."""
     check_range("limit", limit, 1, 100)
     check_range("offset", offset, 0, None)
-    page = where_corpus(corpus, **filters).orderBy(*newest_first()).offset(offset).limit(limit)
-    return article_projection(page)
+    rows, left = _narrow_to_page(where_corpus(corpus, **filters), offset, limit)
+    return article_projection(rows.orderBy(*newest_first()).offset(left).limit(limit))
 
 
 def browse_after(corpus: DataFrame, limit: int, after_date, after_url: str, **filters) -> DataFrame:

@@ -103,12 +103,23 @@ class CorpusTable:
         commit = state.latest + 1
         # A plain hash shuffle on the partition column, salted so that a bucket may use several tasks.
         spread = new.repartition("ub", F.pmod(F.xxhash64("content_id"), F.lit(4)))
-        spread.write.mode("overwrite").partitionBy("ub").parquet(f"{self.root}/rows/commit={commit}")
+        spread.sortWithinPartitions("ub", "date").write.mode("overwrite").partitionBy("ub").parquet(f"{self.root}/rows/commit={commit}")
         if jsonl_path is not None:
             write_jsonl(changes.drop("is_update", "ub"), f"{jsonl_path}/commit={commit}", "overwrite")
         _append_log(self.spark, self.root, commit, rewritten, tag)
         return commit
 
+    def compact(self) -> int:
+        """Rewrite the current version as one commit, so that readers open few files."""
+        state = _state(self.spark, self.root)
+        commit = state.latest + 1
+        live = self._live(state).repartition("ub", F.pmod(F.xxhash64("content_id"), F.lit(4)))
+        live.sortWithinPartitions("ub", "date").write.mode("overwrite").partitionBy("ub").parquet(
+            f"{self.root}/rows/commit={commit}"
+        )
+        _append_log(self.spark, self.root, commit, list(range(self.buckets)), None)
+        return commit
+
 
 def publish_snapshot(df: DataFrame, root: str) -> int:
     """Replace the table at ``root`` by ``df``; readers see the old or the new one, whole."""
