@@ -116,7 +116,10 @@ def corpus_stats(
     def constant(name: str, key: str, value) -> DataFrame:
         return F.struct(F.lit(name).alias("section"), F.lit(key).alias("key"), value.cast("bigint").alias("value"))
 
-    totals = part("total").select(
+    whole = part("total").agg(
+        F.coalesce(F.max("value"), F.lit(0)).alias("value"), F.max("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    totals = whole.select(
         F.inline(
             F.array(
                 constant("total", "articles", F.col("value")),

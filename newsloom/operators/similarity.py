@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,8 +21,10 @@ from pyspark.sql import Window as W
 from newsloom.config import EMBEDDING_DIM
 
 TIE_DIGITS = 10
-MAX_BROADCAST_QUERY_CELLS = 8_000_000
+MAX_SHIPPED_CELLS = 2_000_000
+PRODUCT_CELLS = 4_000_000
 HIT_SCHEMA = "query_id string, content_id string, url string, title string, similarity double"
+HIT_TYPES = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64())
 _HIT_NAMES = ["query_id", "content_id", "url", "title", "similarity"]
 
 
@@ -43,50 +46,54 @@ def _dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, flat.reshape(len(rows), dim)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by (rounded similarity desc, id); NaN never counts."""
-    keys = np.round(sims, TIE_DIGITS)
-    valid = np.flatnonzero(~np.isnan(keys))
-    if len(valid) > k:
-        # The k-th value may be shared by many rows: keep all of its ties for the id order.
-        kth = np.partition(-keys[valid], k - 1)[k - 1]
-        valid = valid[-keys[valid] <= kth]
-    order = np.lexsort((ids[valid], -keys[valid]))
-    return valid[order[:k]]
-
-
 def _task_topk(query_ids: list[str], queries: np.ndarray, k: int):
-    """Arrow batches in, the task's k best rows per query out."""
-    dim = queries.shape[1]
+    """Arrow batches in, the task's k best rows per query out.
+
+    Rows are scored in slices whose product stays small. Once a query has k rows, only
+    rows that reach its k-th similarity are looked at again.
+    """
+    dim, asked = queries.shape[1], len(query_ids)
+    step = max(1, PRODUCT_CELLS // max(1, asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[pa.Table | None] = [None] * len(query_ids)
+        floor = np.full(asked, -np.inf)
+        best: list[list[tuple]] = [[] for _ in range(asked)]
         for batch in batches:
             rows, matrix = _dense(batch.column("embedding"), dim)
-            if not len(rows):
-                continue
-            meta = pa.Table.from_batches([batch.select(["content_id", "url", "title"])]).take(pa.array(rows))
-            sims = unit_rows(matrix) @ queries.T
-            ids = np.array(meta.column("content_id").to_pylist(), dtype=object)
-            for q in range(len(query_ids)):
-                picked = _best(ids, sims[:, q], k)
-                found = meta.take(pa.array(picked)).append_column("similarity", pa.array(sims[picked, q]))
-                if best[q] is not None:
-                    found = pa.concat_tables([best[q], found]).combine_chunks()
-                    merged = _best(
-                        np.array(found.column("content_id").to_pylist(), dtype=object),
-                        found.column("similarity").to_numpy(), k,
-                    )
-                    found = found.take(pa.array(merged))
-                best[q] = found
-        for q, found in enumerate(best):
-            if found is not None and found.num_rows:
-                tagged = found.add_column(0, "query_id", pa.array([query_ids[q]] * found.num_rows, pa.string()))
-                yield from tagged.combine_chunks().to_batches()
+            units = unit_rows(matrix)
+            ids, urls, titles = (batch.column(n) for n in ("content_id", "url", "title"))
+            for low in range(0, len(rows), step):
+                sims = units[low : low + step] @ queries.T
+                keys = np.round(sims, TIE_DIGITS)
+                # NaN reaches no floor, so rows without a direction drop out here.
+                for q in np.flatnonzero((keys >= floor).any(axis=0)):
+                    for n in _leading(keys[:, q], floor[q], k, ids, rows[low : low + step]):
+                        at = int(rows[low + n])
+                        best[q].append((-keys[n, q], ids[at].as_py(), sims[n, q], urls[at].as_py(), titles[at].as_py()))
+                    best[q].sort(key=lambda hit: hit[:2])
+                    del best[q][k:]
+                    if len(best[q]) == k:
+                        floor[q] = -best[q][-1][0]
+        hits = [(query_ids[q], h[1], h[3], h[4], h[2]) for q in range(asked) for h in best[q]]
+        for low in range(0, len(hits), 10_000):
+            columns = zip(*hits[low : low + 10_000])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, HIT_TYPES)], names=_HIT_NAMES
+            )
 
     return run
 
 
+def _leading(keys: np.ndarray, floor: float, k: int, ids: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """Positions of at most k rows at or above the floor, by similarity and then id."""
+    found = np.flatnonzero(keys >= floor)
+    if len(found) > k:
+        named = pa.table({"key": keys[found], "id": ids.take(pa.array(rows[found]))})
+        order = [("key", "descending"), ("id", "ascending")]
+        found = found[pc.select_k_unstable(named, k, sort_keys=order).to_numpy()]
+    return found
+
+
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     """The k best of all tasks' candidates per query, with their rank."""
     order = W.partitionBy("query_id").orderBy(F.round("similarity", TIE_DIGITS).desc(), F.asc("content_id"))
@@ -120,7 +127,7 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 def cosine_topk_batch(
     vectors: DataFrame, queries: DataFrame, k: int, dim: int = EMBEDDING_DIM,
-    max_cells: int = MAX_BROADCAST_QUERY_CELLS, block_rows: int = 20_000,
+    max_cells: int = MAX_SHIPPED_CELLS, block_rows: int = 20_000, block_queries: int = 2_000,
 ) -> DataFrame:
     """The k nearest vectors of every query (``query_id``, ``embedding``).
 
@@ -136,31 +143,35 @@ def cosine_topk_batch(
         narrow = vectors.select("content_id", "url", "title", "embedding")
         hits = narrow.mapInArrow(_task_topk(ids, unit_rows(matrix), k), HIT_SCHEMA)
         return _ranked(hits, k)
-    return _ranked(_blocked_hits(vectors, queries, k, dim, block_rows), k)
+    return _ranked(_blocked_hits(vectors, queries, k, dim, block_rows, block_queries), k)
 
 
-def _blocked_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int, block_rows: int) -> DataFrame:
-    """Block-matrix form: vector blocks meet query blocks, each pair in its own bounded group."""
+def _blocked_hits(
+    vectors: DataFrame, queries: DataFrame, k: int, dim: int, block_rows: int, block_queries: int
+) -> DataFrame:
+    """Block-matrix form: vector blocks meet query blocks, each pair in its own bounded group.
+
+    Blocks are hashes of unique ids, so no block outgrows its expected size.
+    """
     v_blocks = max(1, -(-vectors.count() // block_rows))
-    q_blocks = max(1, -(-queries.count() // block_rows))
+    q_blocks = max(1, -(-queries.count() // block_queries))
+
+    def every(blocks: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+
     v_side = vectors.select("content_id", "url", "title", "embedding").select(
-        "*",
-        F.pmod(F.xxhash64("content_id"), F.lit(v_blocks)).alias("vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("qb"),
+        "*", F.pmod(F.xxhash64("content_id"), F.lit(v_blocks)).alias("vb"), every(q_blocks).alias("qb")
     )
     q_side = queries.select(
-        "*",
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("bigint").alias("vb"),
+        "*", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), every(v_blocks).alias("vb")
     )
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, matrix = _dense(right.column("embedding"), dim)
         ids = right.column("query_id").take(pa.array(rows)).to_pylist()
-        run = _task_topk(ids, unit_rows(matrix), k)
-        parts = list(run(iter(left.combine_chunks().to_batches())))
-        empty = pa.schema([(n, pa.float64() if n == "similarity" else pa.string()) for n in _HIT_NAMES])
-        return pa.Table.from_batches(parts) if parts else empty.empty_table()
+        parts = list(_task_topk(ids, unit_rows(matrix), k)(iter(left.combine_chunks().to_batches())))
+        schema = pa.schema(list(zip(_HIT_NAMES, HIT_TYPES)))
+        return pa.Table.from_batches(parts, schema)
 
     grouped = v_side.groupBy("vb", "qb").cogroup(q_side.groupBy("vb", "qb"))
     return grouped.applyInArrow(meet, HIT_SCHEMA)
