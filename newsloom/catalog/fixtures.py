@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from newsloom.config import TRANSFER_TERMS, TREND_TERMS
 from newsloom.functions import text, topics
 from newsloom.functions.text import WHITESPACE
-from newsloom.session import work_path
+from newsloom.session import spread, work_path
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def time_text(column):

@@ -90,22 +90,56 @@ def _reachable(keys: DataFrame, states: list[BucketState]) -> DataFrame:
     return inside.where(F.col("page") <= F.col("_end")).drop("_end")
 
 
-def _decide(open_keys: DataFrame, blocked: DataFrame | None, quotas: DataFrame, used: DataFrame, limits: Limits, rows: int) -> DataFrame:
-    """Accepted keys under fixed quotas, given the offers blocked by other buckets."""
-    if blocked is not None:
-        open_keys = open_keys.join(blocked, ["bucket", "url_norm"], "left_anti")
-    own_first = first_per_key(open_keys, ["bucket", "url_norm"], visit_order())
-    block = F.floor(F.col("page") / 64)
-    with_room = (
-        own_first.join(hint_small(quotas, 1), "bucket")
-        .join(hint_small(used, rows), ["bucket", "domain"], "left")
-        .withColumn("_room", F.col("cap") - F.coalesce("used", F.lit(0)))
-    )
-    top_cap = max(domain_cap(limits.max_quota), domain_cap(limits.init_quota))
-    capped = first_k(with_room, ["bucket", "domain"], visit_order(), F.col("_room"), top_cap, block)
-    top_quota = max(limits.max_quota, limits.init_quota)
-    kept = first_k(capped, ["bucket"], visit_order(), F.col("open_quota"), top_quota, block)
-    return kept.select("bucket", "bucket_pos", "page", "pos", "url_norm", "domain")
+@dataclass
+class _Epoch:
+    """What is open at the start of an epoch and the quotas it is decided under."""
+
+    open_keys: DataFrame
+    states: dict[str, BucketState]
+    used: DataFrame | None
+    limits: Limits
+    rows: int
+
+    def per_bucket(self, value):
+        """A number per bucket as an expression; there are only as many as buckets."""
+        pairs = [x for name, s in self.states.items() for x in (F.lit(name), F.lit(value(s)))]
+        return F.element_at(F.create_map(*pairs), F.col("bucket"))
+
+    def top_cap(self) -> int:
+        return max(domain_cap(self.limits.max_quota), domain_cap(self.limits.init_quota))
+
+    def own_first(self, blocked: DataFrame | None) -> DataFrame:
+        """Each bucket's first offer of a URL, unless blocked by another bucket."""
+        keys = self.open_keys
+        if blocked is not None:
+            keys = keys.join(blocked, ["bucket", "url_norm"], "left_anti")
+        return first_per_key(keys, ["bucket", "url_norm"], visit_order())
+
+    def placed(self, offers: DataFrame) -> DataFrame:
+        """Offers with their number within (bucket, domain), earlier epochs included.
+
+        Those beyond every possible cap are left out.
+        """
+        keys, top = ["bucket", "domain"], self.top_cap()
+        ranked = first_k(offers, keys, visit_order(), F.lit(top), top, _page_block(), rank="place")
+        if self.used is None:
+            return ranked
+        counted = ranked.join(hint_small(self.used, self.rows), keys, "left")
+        return counted.withColumn("place", F.col("place") + F.coalesce("used", F.lit(0))).drop("used")
+
+    def decide(self, blocked: DataFrame | None) -> DataFrame:
+        """Accepted keys, given the offers blocked by other buckets."""
+        fits = self.placed(self.own_first(blocked)).where(
+            F.col("place") <= self.per_bucket(lambda s: domain_cap(s.quota))
+        )
+        top = max(self.limits.max_quota, self.limits.init_quota)
+        room = self.per_bucket(lambda s: s.quota - s.count)
+        kept = first_k(fits, ["bucket"], visit_order(), room, top, _page_block())
+        return kept.select("bucket", "bucket_pos", "page", "pos", "url_norm", "domain")
+
+
+def _page_block():
+    return F.floor(F.col("page") / 64)
 
 
 def _won_earlier():
@@ -113,55 +147,55 @@ def _won_earlier():
     return (won_page < F.col("page")) | ((won_page == F.col("page")) & (won_pos < F.col("bucket_pos")))
 
 
-def _settle(
-    open_keys: DataFrame, shared: DataFrame | None, guess: DataFrame | None, quotas: DataFrame, used: DataFrame,
-    limits: Limits, rows: int,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Repeat ``_decide`` until the set of blocked offers is stable: (accepted, blocked).
+def _settle(epoch: _Epoch, shared: DataFrame | None, guess: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Repeat ``decide`` until the set of blocked offers is stable: (accepted, blocked).
 
     ``guess`` is where to start, such as what the previous epoch ended with.
     """
     if shared is None:
-        return materialize(_decide(open_keys, None, quotas, used, limits, rows), "admission"), None
+        return materialize(epoch.decide(None), "admission"), None
     offers = (
-        open_keys.join(shared, "url_norm", "left_semi")
+        epoch.open_keys.join(shared, "url_norm", "left_semi")
         .groupBy("bucket", "bucket_pos", "url_norm")
         .agg(F.min("page").alias("page"))
     )
     blocked = guess
     while True:
-        accepted = materialize(_decide(open_keys, blocked, quotas, used, limits, rows), "admission")
+        accepted = epoch.decide(blocked)
         place = F.struct("page", "bucket_pos", "bucket")
         winners = accepted.join(shared, "url_norm", "left_semi").groupBy("url_norm").agg(F.min(place).alias("won"))
         # An offer is blocked by an accepted offer of its URL that came earlier elsewhere.
         won = F.col("won").isNotNull() & (F.col("won.bucket") != F.col("bucket")) & _won_earlier()
-        held = F.lit(False)
         judged = offers.join(winners, "url_norm", "left")
+        was = F.lit(False)
         if blocked is not None:
-            judged = judged.join(blocked.withColumn("_held", F.lit(True)), ["bucket", "url_norm"], "left")
-            held = F.coalesce("_held", F.lit(False))
-        judged = materialize(judged.select("bucket", "url_norm", F.coalesce(won, F.lit(False)).alias("now"), held.alias("was")), "offers")
+            judged = judged.join(blocked.withColumn("_was", F.lit(True)), ["bucket", "url_norm"], "left")
+            was = F.coalesce("_was", F.lit(False))
+        judged = judged.select("bucket", "url_norm", F.coalesce(won, F.lit(False)).alias("now"), was.alias("was"))
+        judged = materialize(judged, "offers")
         if judged.where(F.col("now") != F.col("was")).isEmpty():
-            return accepted, blocked
+            return materialize(accepted, "admission"), blocked
         blocked = judged.where("now").select("bucket", "url_norm")
 
 
-def _page_counts(totals: DataFrame, open_keys: DataFrame, accepted: DataFrame, start: tuple[int, int]) -> DataFrame:
-    """Per page still to visit: items, offers that could be accepted, and accepted ones."""
-    offers = (
-        open_keys.groupBy("bucket", "url_norm").agg(F.min("page").alias("page"))
-        .groupBy("bucket", "page").agg(F.count("*").alias("fresh"))
-    )
-    taken = accepted.groupBy("bucket", "page").agg(
-        F.count("*").alias("accepted"), F.max("pos").alias("last_pos")
-    )
-    return (
-        totals.where(_after(start))
-        .join(offers, ["bucket", "page"], "left")
-        .join(taken, ["bucket", "page"], "left")
-        .fillna(0, ["fresh", "accepted"])
-        .orderBy("page", "bucket_pos")
+UNBOUNDED = 1 << 60
+
+
+def _page_counts(totals: DataFrame, epoch: _Epoch, blocked: DataFrame | None, accepted: DataFrame, start) -> DataFrame:
+    """Per page still to visit: items, offers, accepted ones, and the greatest place an
+    offer takes within its domain, which tells what caps would change the decisions."""
+    offers = epoch.own_first(blocked)
+    fresh = offers.groupBy("bucket", "page").agg(F.count("*").alias("fresh"))
+    placed = epoch.placed(offers).groupBy("bucket", "page").agg(
+        F.count("*").alias("placed"), F.max("place").cast("bigint").alias("greatest")
     )
+    taken = accepted.groupBy("bucket", "page").agg(F.count("*").alias("accepted"), F.max("pos").alias("last_pos"))
+    joined = totals.where(_after(start))
+    for part in (fresh, placed, taken):
+        joined = joined.join(part, ["bucket", "page"], "left")
+    need = F.when(F.col("fresh") > F.col("placed"), F.lit(UNBOUNDED)).otherwise(F.col("greatest"))
+    filled = joined.fillna(0, ["fresh", "placed", "greatest", "accepted"])
+    return filled.withColumn("need", need).orderBy("page", "bucket_pos")
 
 
 def _after(start: tuple[int, int]):
@@ -169,6 +203,17 @@ def _after(start: tuple[int, int]):
     return (F.col("page") > page) | ((F.col("page") == page) & (F.col("bucket_pos") >= pos))
 
 
+def _still_decided(state: BucketState, quota: int, page) -> bool:
+    """Whether decisions made under ``quota`` hold for this page under the current one.
+
+    They do if no offer's place lies beyond either cap and neither quota fills up.
+    """
+    if state.quota == quota or not page["fresh"]:
+        return True
+    cap = min(domain_cap(quota), domain_cap(state.quota))
+    return page["need"] <= cap and state.count + page["accepted"] < min(quota, state.quota)
+
+
 class _Walk:
     """The control rule over page counts. Holds one small state per bucket."""
 
@@ -198,7 +243,7 @@ class _Walk:
                 elif state.active and here is None:
                     state.active = page < state.feeds
                 elif state.active:
-                    if state.quota != decided_for[state.name] and here["fresh"] > 0:
+                    if not _still_decided(state, decided_for[state.name], here):
                         self.end = (page, state.pos)
                         return self.end
                     self._visit(state, here, counted_upto)
@@ -287,7 +332,7 @@ def admit_adaptive(
     walk = _Walk(states, limits)
     start: tuple[int, int] | None = (0, 0)
     kept: list[DataFrame] = []
-    blocked = None
+    blocked = used = None
     while start is not None:
         names = [s.name for s in walk.active()]
         open_keys = eligible.where(F.col("bucket").isin(names) & _after(start))
@@ -295,14 +340,9 @@ def admit_adaptive(
             done = reduce(DataFrame.unionByName, kept)
             open_keys = open_keys.join(hint_small(done.select("url_norm"), bound), "url_norm", "left_anti")
             used = done.groupBy("bucket", "domain").agg(F.count("*").alias("used"))
-        else:
-            used = spark.createDataFrame([], "bucket string, domain string, used bigint")
-        quotas = spark.createDataFrame(
-            [(s.name, domain_cap(s.quota), s.quota - s.count) for s in states],
-            "bucket string, cap int, open_quota int",
-        )
-        accepted, blocked = _settle(open_keys, shared, blocked, quotas, used, limits, bound)
-        counts = _page_counts(totals, open_keys, accepted, start).toLocalIterator()
+        epoch = _Epoch(open_keys, {s.name: s for s in states}, used, limits, bound)
+        accepted, blocked = _settle(epoch, shared, blocked)
+        counts = _page_counts(totals, epoch, blocked, accepted, start).toLocalIterator()
         start = walk.run(counts, start, counted_upto)
         kept.append(accepted if walk.end is None else accepted.where(~_after(walk.end)))
     admitted = reduce(DataFrame.unionByName, kept).select(*ITEM_KEY)

@@ -47,20 +47,21 @@ def running_position(
 
 
 def first_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: Column, k_max: int, block: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: Column, k_max: int, block: Column,
+    rank: str | None = None,
 ) -> DataFrame:
     """The first ``k`` rows of each key; ``k`` may differ per row of a key-constant column.
 
-    ``k_max`` is an upper bound of ``k`` over all keys.
+    ``k_max`` is an upper bound of ``k`` over all keys. ``rank`` names a column to keep
+    the row's number in.
     """
-    if k_max < 1:
-        return df.where(F.lit(False))
     if k_max <= GROUP_LIMIT_THRESHOLD:
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-        ranked = df.withColumn("_rn", rank)
+        number = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+        ranked = df.withColumn("_rn", number)
     else:
         ranked = running_position(df, keys, order, block, "_rn")
-    return ranked.where((F.col("_rn") <= k_max) & (F.col("_rn") <= k)).drop("_rn")
+    kept = ranked.where((F.col("_rn") <= k_max) & (F.col("_rn") <= k))
+    return kept.withColumnRenamed("_rn", rank) if rank else kept.drop("_rn")
 
 
 def nearest_in_key(
