@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.config import TRANSFER_TERMS, TREND_TERMS
 from newsloom.functions import text, topics
+from newsloom.functions.binding import keep_computed
 from newsloom.functions.text import WHITESPACE
 from newsloom.session import spread, work_path
 
@@ -75,7 +76,8 @@ def shape_articles(docs: DataFrame, raw_events: DataFrame) -> DataFrame:
         F.col("event_type").alias("source_type"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/feed")).alias("source_feed"),
         "text",
-    ).where(F.char_length("content") >= 10)
+    )
+    base = keep_computed(base, lambda row: F.char_length(row["content"]) >= 10)
     titled = base.withColumn("content_id", F.sha1("content")).withColumn("title", F.substring("content", 1, 80))
     keywords = F.array("bucket", "source_type")
     return titled.withColumn(

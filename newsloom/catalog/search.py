@@ -12,6 +12,7 @@ from newsloom.operators import search as ops
 from newsloom.operators.encoder import encode_hashed, encode_query, encode_with_model
 from newsloom.operators.similarity import cosine_topk, cosine_topk_batch
 from newsloom.plans.embed import embed_incremental
+from newsloom.session import materialize
 
 _SNIPPET = "case when length(content) > 500 then substr(content, 1, 500) || '...' else content end as content"
 _ARTICLE = (
@@ -173,6 +174,8 @@ cells as (select content_id, cell, n / norm as weight from tf join norms using (
 def encode(spark, folder):
     texts = corpus(spark, folder)
     encoded = encode_hashed(texts, "content_id", embedding_text(F.col("title"), F.col("content")))
+    # Written first, as embeddings are: filters on the exploded cells would encode again.
+    encoded = materialize(encoded, "encoded")
     cells = encoded.select("content_id", F.posexplode("embedding").alias("cell", "weight")).where("weight <> 0")
     return cells.withColumn("weight", F.round(F.col("weight").cast("double"), 4))
 

@@ -109,7 +109,7 @@ def _second_batch(spark, folder):
     mirrors = rows.where(kind == 2).withColumn("url", F.concat("url", F.lit("/mirror"))).withColumn(
         "seq", F.col("seq") + F.lit(1 << 40)
     )
-    return changed.unionByName(mirrors)
+    return materialize(changed.unionByName(mirrors), "second-batch")
 
 
 _UPSERTED_SQL = f"""{CORPUS_SQL},

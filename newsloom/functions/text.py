@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.config import SNIPPET_CHARS
+from newsloom.functions.binding import let
 
 # Every code point Unicode counts as white space (fixed values), as a regex for SQL
 # counterparts and as a plain string for trimming and translating.
@@ -62,9 +63,8 @@ def embedding_text(title: Column, content: Column) -> Column:
 def choose_content(paywall: Column, extracted: Column, excerpt: Column) -> Column:
     """Paywalled items keep the excerpt; others fall back to it when extraction is empty."""
     fallback = F.coalesce(excerpt, F.lit(""))
-    return F.when(F.coalesce(paywall, F.lit(False)), fallback).otherwise(
-        F.coalesce(F.nullif(extracted, F.lit("")), fallback)
-    )
+    found = let(extracted, lambda t: F.when(t == "", fallback).otherwise(F.coalesce(t, fallback)))
+    return F.when(F.coalesce(paywall, F.lit(False)), fallback).otherwise(found)
 
 
 def drop_null_items(values: Column) -> Column:

@@ -1,8 +1,8 @@
 """Text to unit vectors.
 
-The built-in encoder hashes words into a fixed number of cells and needs no model: counts
-per (text, cell) are a partial aggregate, so what is shuffled is at most ``dim`` small
-rows per text. Any other model fits through ``encode_with_model``.
+The built-in encoder hashes words into a fixed number of cells and needs no model: it is
+one expression per row, so encoding shuffles nothing. Any other model fits through
+``encode_with_model``.
 """
 
 from __future__ import annotations
@@ -14,49 +14,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.config import EMBEDDING_DIM
+from newsloom.functions.binding import let
 
 
-def word_cells(texts: DataFrame, key: str, text: Column, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """(key, cell, weight): word counts per hash cell, scaled to length one per key."""
-    words = texts.select(key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("word"))
-    cell = F.pmod(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-    counts = (
-        words.where(F.col("word") != "").groupBy(key, cell.cast("int").alias("cell")).agg(F.count("*").alias("tf"))
+def _word_cells(text: Column, dim: int) -> Column:
+    """The hash cell of every word, sorted."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    cell = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    return F.sort_array(F.transform(words, cell))
+
+
+def _counted(cells: Column) -> Column:
+    """(cell, tf) entries in cell order, from sorted cells: where runs start tells their length."""
+    size = F.size(cells)
+    starts = F.filter(
+        F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(cells, i) != F.get(cells, i - 1))
     )
-    listed = counts.groupBy(key).agg(
-        F.collect_list(F.struct("cell", "tf")).alias("cells"),
-        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"),
+    return let(
+        starts,
+        lambda s: F.zip_with(
+            s, F.concat(F.slice(s, 2, F.size(s)), F.array(size)),
+            lambda a, b: F.struct(F.get(cells, a).alias("cell"), (b - a).alias("tf")),
+        ),
     )
-    return listed.select(key, "cells", "norm")
 
 
-def _fill(cells: Column, norm: Column, dim: int) -> Column:
-    """Dense array from at most ``dim`` (cell, tf) entries; gaps become zeros."""
-    entry = "struct<cell:int,tf:bigint>"
-    start = F.array(F.struct(F.lit(-1).alias("cell"), F.lit(0).cast("bigint").alias("tf")).cast(entry))
-    end = F.array(F.struct(F.lit(dim).alias("cell"), F.lit(0).cast("bigint").alias("tf")).cast(entry))
-    ordered = F.array_sort(cells)
+def _fill(entries: Column, dim: int) -> Column:
+    """Dense unit array from (cell, tf) entries; gaps become zeros."""
+    edge = lambda cell: F.array(F.struct(F.lit(cell).alias("cell"), F.lit(0).alias("tf")))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    runs = F.zip_with(
-        F.concat(start, ordered),
-        F.concat(ordered, end),
-        lambda a, b: F.concat(zeros(b["cell"] - a["cell"] - 1), F.array(b["tf"] / norm)),
+    total = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["tf"] * e["tf"])
+    runs = let(
+        F.sqrt(total),
+        lambda norm: F.zip_with(
+            F.concat(edge(-1), entries),
+            F.concat(entries, edge(dim)),
+            lambda a, b: F.concat(zeros(b["cell"] - a["cell"] - 1), F.array(b["tf"] / norm)),
+        ),
     )
     return F.slice(F.flatten(runs), 1, dim)
 
 
+def hash_vector(text: Column, dim: int = EMBEDDING_DIM) -> Column:
+    """Unit vector of word counts per hash cell; a text without words gives zeros."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    dense = let(
+        _word_cells(text, dim),
+        lambda cells: F.when(F.size(cells) < 1, zero).otherwise(let(_counted(cells), lambda e: _fill(e, dim))),
+    )
+    return F.coalesce(dense, zero).cast("array<float>")
+
+
 def encode_hashed(texts: DataFrame, key: str, text: Column, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """(key, embedding) for every text; a text without words gets the zero vector."""
-    cells = word_cells(texts, key, text, dim)
-    dense = cells.select(key, _fill(F.col("cells"), F.col("norm"), dim).cast("array<float>").alias("embedding"))
-    zero = F.array_repeat(F.lit(0.0), dim).cast("array<float>")
-    return texts.select(key).join(dense, key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
+    """(key, embedding) for every text."""
+    return texts.select(key, hash_vector(text, dim).alias("embedding"))
 
 
 def encode_query(spark, text: str, dim: int = EMBEDDING_DIM) -> list[float]:
     """The vector of one query text."""
-    one = spark.range(1).select(F.lit("q").alias("key"), F.lit(text).alias("text"))
-    return list(encode_hashed(one, "key", F.col("text"), dim).first()["embedding"])
+    return list(spark.range(1).select(hash_vector(F.lit(text), dim)).first()[0])
 
 
 def encode_with_model(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.config import CONTENT_ID_CHARS, MAX_URL_CHARS, MIN_CONTENT_CHARS, MIN_DOMAIN_CHARS
+from newsloom.functions.binding import keep_computed
 from newsloom.functions.dates import parse_query_date
 
 
@@ -93,19 +94,26 @@ def admissible_url(df: DataFrame) -> DataFrame:
     return df.where((F.col("url_norm") != "") & (F.col("domain") != ""))
 
 
-def reject_reason() -> Column:
+def reject_reason(row: Column | None = None) -> Column:
     """Why a row breaks the article contract; null for a valid row.
 
-    Reads url, content, raw_domain, date_status and content_id.
+    Reads url, content, raw_domain, date_status and content_id, of ``row`` if given.
     """
-    host = F.regexp_extract("url", r"^(?i:https?)://([^/?#]+)", 1)
+
+    def field(name: str) -> Column:
+        return F.col(name) if row is None else row[name]
+
+    def length(name: str) -> Column:
+        return F.coalesce(F.char_length(field(name)), F.lit(0))
+
+    host = F.regexp_extract(field("url"), r"^(?i:https?)://([^/?#]+)", 1)
     checks = [
         (F.coalesce(host, F.lit("")) == "", "url"),
-        (F.char_length("url") > MAX_URL_CHARS, "url_length"),
-        (F.coalesce(F.char_length("content"), F.lit(0)) < MIN_CONTENT_CHARS, "content_length"),
-        (F.coalesce(F.char_length("raw_domain"), F.lit(0)) < MIN_DOMAIN_CHARS, "publisher_domain"),
-        (F.coalesce(F.col("date_status"), F.lit("missing")) == "bad", "published_date"),
-        (F.coalesce(F.char_length("content_id"), F.lit(0)) != CONTENT_ID_CHARS, "content_id"),
+        (length("url") > MAX_URL_CHARS, "url_length"),
+        (length("content") < MIN_CONTENT_CHARS, "content_length"),
+        (length("raw_domain") < MIN_DOMAIN_CHARS, "publisher_domain"),
+        (F.coalesce(field("date_status"), F.lit("missing")) == "bad", "published_date"),
+        (length("content_id") != CONTENT_ID_CHARS, "content_id"),
     ]
     return reduce(lambda acc, c: acc.when(c[0], c[1]), checks[1:], F.when(*checks[0]))
 
@@ -115,8 +123,8 @@ def with_reject_reason(df: DataFrame) -> DataFrame:
 
 
 def valid_articles(df: DataFrame) -> DataFrame:
-    return with_reject_reason(df).where(F.col("reject_reason").isNull()).drop("reject_reason")
+    return keep_computed(df, lambda row: reject_reason(row).isNull())
 
 
 def rejected_articles(df: DataFrame) -> DataFrame:
-    return with_reject_reason(df).where(F.col("reject_reason").isNotNull())
+    return keep_computed(with_reject_reason(df), lambda row: row["reject_reason"].isNotNull())

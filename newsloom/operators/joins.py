@@ -95,10 +95,8 @@ def attach_page_text(items: DataFrame, pages: DataFrame, text: Column) -> DataFr
     ``text`` is the extraction expression over the page's ``html``.
     """
     joined = items.join(wanted_pages(items, pages), "url_norm", "left")
-    extracted = F.when(~F.coalesce("paywall", F.lit(False)), text)
-    return joined.withColumn(
-        "content", choose_content(F.col("paywall"), extracted, F.col("excerpt"))
-    ).drop("html")
+    chosen = choose_content(F.col("paywall"), text, F.col("excerpt"))
+    return joined.withColumn("content", chosen).drop("html")
 
 
 def attach_config(items: DataFrame, topics=TOPICS) -> DataFrame:

@@ -65,14 +65,18 @@ def first_k(
 
 
 def nearest_in_key(
-    df: DataFrame, key: str, order: str, value: Column, *, before: bool, block: Column, name: str
+    df: DataFrame, key: str, order: str, value: Column, *, before: bool, block: Column | None, name: str
 ) -> DataFrame:
     """The nearest non-null ``value`` strictly before (or after) each row within its key.
 
     Works block by block: inside a block with a window, across blocks with one value
-    per (key, block).
+    per (key, block). Without ``block`` a key is one window, for tables known to be small.
     """
     along = F.col(order).asc() if before else F.col(order).desc()
+    if block is None:
+        whole = W.partitionBy(key).orderBy(along).rowsBetween(W.unboundedPreceding, -1)
+        valued = df.withColumn("_value", value)
+        return valued.withColumn(name, F.last("_value", ignorenulls=True).over(whole)).drop("_value")
     along_block = F.col("_block").asc() if before else F.col("_block").desc()
     blocked = df.withColumn("_block", block).withColumn("_value", value)
     inside = F.last("_value", ignorenulls=True).over(

@@ -50,7 +50,7 @@ def _more_than_one(pairs: DataFrame, key: str) -> DataFrame:
 
 def _replay(events: DataFrame, block: int) -> DataFrame:
     """Fixed point of the acceptance rule over the given rows; adds ``accepted``."""
-    seq_block = F.floor(F.col("seq") / block)
+    seq_block = F.floor(F.col("seq") / block) if events.count() > block else None
     # Guess: a content stays with the first URL that offers it.
     first = events.groupBy("ck").agg(F.min_by("url", "seq").alias("_first"))
     current = materialize(

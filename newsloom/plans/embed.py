@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.config import EMBEDDING_DIM
 from newsloom.functions.text import embedding_text
-from newsloom.operators.encoder import encode_hashed
+from newsloom.operators.encoder import hash_vector
 from newsloom.operators.joins import pending_embeddings
 from newsloom.operators.upsert import upsert_vectors
 
@@ -15,12 +15,12 @@ from newsloom.operators.upsert import upsert_vectors
 def embed_pending(corpus: DataFrame, vectors: DataFrame, dim: int = EMBEDDING_DIM, at: Column | None = None) -> DataFrame:
     """New vector rows for corpus contents that have none."""
     pending = pending_embeddings(corpus, vectors)
-    encoded = encode_hashed(pending, "content_id", embedding_text(F.col("title"), F.col("content")), dim)
-    stamp = F.current_timestamp() if at is None else at
-    return (
-        pending.select("content_id", F.coalesce("url", F.lit("")).alias("url"), "title")
-        .join(encoded, "content_id")
-        .withColumn("embedded_at", stamp)
+    return pending.select(
+        "content_id",
+        F.coalesce("url", F.lit("")).alias("url"),
+        "title",
+        hash_vector(embedding_text(F.col("title"), F.col("content")), dim).alias("embedding"),
+        (F.current_timestamp() if at is None else at).alias("embedded_at"),
     )
 
 

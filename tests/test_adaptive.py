@@ -100,7 +100,7 @@ def test_random_cases_reach_reallocation():
     assert changed >= 4
 
 
-@pytest.mark.parametrize("seed", [0, 3, 5, 10])
+@pytest.mark.parametrize("seed", [0, 3, 5])
 def test_matches_sequential_run(spark, seed):
     items, seen, buckets, limits = random_case(seed)
     place = {b: i for i, (b, _) in enumerate(buckets)}

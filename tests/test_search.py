@@ -187,12 +187,12 @@ def test_first_k_both_ways(spark, k):
     assert {g: sorted(v) for g, v in got.items()} == want
 
 
-@pytest.mark.parametrize("before", [True, False])
-def test_nearest_in_key(spark, before):
+@pytest.mark.parametrize("before, block", [(True, 7), (False, 7), (True, None), (False, None)])
+def test_nearest_in_key(spark, before, block):
     rng = random.Random(9)
     rows = [(rng.choice("ab"), i, rng.choice([None, None, i])) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, o int, v int")
-    out = ranking.nearest_in_key(df, "k", "o", F.col("v"), before=before, block=F.floor(F.col("o") / 7), name="near")
+    out = ranking.nearest_in_key(df, "k", "o", F.col("v"), before=before, block=block and F.floor(F.col("o") / block), name="near")
     for r in out.collect():
         others = [v for k, o, v in rows if k == r["k"] and v is not None and (o < r["o"] if before else o > r["o"])]
         assert r["near"] == ((max(others) if before else min(others)) if others else None)

@@ -44,7 +44,7 @@ def result(df):
     return {r[0]: (r[1], r[2], r[3]) for r in rows}
 
 
-@pytest.mark.parametrize("seed", [1, 3, 4, 6])
+@pytest.mark.parametrize("seed", [1, 3, 4])
 def test_random_batches_match_replay(spark, seed):
     rng = random.Random(seed)
     urls = [f"u{i}" for i in range(rng.choice([4, 8, 12]))]
