@@ -91,7 +91,8 @@ def post_filter_hits(df: DataFrame, topic: str | None = None, signal_type: str |
 
 
 def admissible_url(df: DataFrame) -> DataFrame:
-    return df.where((F.col("url_norm") != "") & (F.col("domain") != ""))
+    """Rows with a normalized URL and a host; judged after both were computed."""
+    return keep_computed(df, lambda row: (row["url_norm"] != "") & (row["domain"] != ""))
 
 
 def reject_reason(row: Column | None = None) -> Column:

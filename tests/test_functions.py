@@ -109,8 +109,8 @@ def test_string_list(spark):
 
 
 SIGNALS = [
-    ("Juventus complete transfer deal", "medical booked", "transfers"),
-    ("Premier League title race trend", "table momentum", "trends"),
+    ("Striker arrives on loan", "contract until June", "transfers"),
+    ("Standings after round nine", "a winning streak", "trends"),
     ("a trunk of information", None, "trends"),
     ("forbidden", "", "transfers"),
     ("release", "clause", "transfers"),
@@ -141,7 +141,7 @@ def test_word_lists_reduce_without_change():
         ({"league": "premier_league"}, True),
         ({"bucket": "la_liga"}, True),
         ({"league": "finance", "bucket": "la_liga"}, False),
-        ({"title": "Arsenal push in Premier League race"}, True),
+        ({"title": "Sevilla draw at home"}, True),
         ({"keywords": ["Interview"]}, True),
         ({"title": "rates", "bucket": "finance"}, False),
     ],

@@ -16,9 +16,9 @@ from newsloom.sources.union import align_schema, union_sources
 
 RSS = """<?xml version="1.0" encoding="UTF-8"?>
 <rss version="2.0" xmlns:media="http://search.yahoo.com/mrss/" xmlns:atom="http://www.w3.org/2005/Atom"><channel>
-<title>Football Feed</title>
-<item><title> Napoli &amp; Milan lead </title><link>https://example.com/a</link>
-<description>Napoli and Milan move in the window.</description><pubDate>Mon, 10 Mar 2025 08:00:00 GMT</pubDate>
+<title>Sport Wire</title>
+<item><title> Lazio &amp; Roma draw </title><link>https://example.com/a</link>
+<description>Lazio and Roma share the points.</description><pubDate>Tue, 11 Feb 2025 19:30:00 GMT</pubDate>
 <category>Transfers</category><category> </category><category term="cup">x</category>
 <media:thumbnail url="t.png"/><enclosure type="image/png" url="e.png"/></item>
 <item><title>no link</title></item>
@@ -39,13 +39,13 @@ def feeds(spark, *rows):
 
 
 def test_rss_items(spark):
-    items = feed_items(feeds(spark, ("https://feeds.example.com/serie-a.xml", "Football Feed", "serie_a", RSS))).collect()
+    items = feed_items(feeds(spark, ("https://wire.example.org/it.xml", "Sport Wire", "serie_a", RSS))).collect()
     assert [i["url"] for i in items] == [f"https://example.com/{c}" for c in "abcd"]
     first = items[0]
     assert (first["league"], first["source_type"], first["source_feed"], first["publisher_name"]) == (
-        "serie_a", "rss", "https://feeds.example.com/serie-a.xml", "Football Feed",
+        "serie_a", "rss", "https://wire.example.org/it.xml", "Sport Wire",
     )
-    assert first["title"] == "Napoli & Milan lead" and "Napoli" in first["excerpt"]
+    assert first["title"] == "Lazio & Roma draw" and "Lazio" in first["excerpt"]
     assert first["keywords"] == ["Transfers", "cup"]
     assert [i["thumbnail"] for i in items] == ["t.png", "e.jpg", None, None]
     assert items[1]["excerpt"] == "fallback"
