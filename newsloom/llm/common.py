@@ -58,7 +58,7 @@ def ordered_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     )
 
 
-def positions(df: DataFrame, key: str, mix: str, name: str, rows_per_block: int = 200_000) -> DataFrame:
+def positions(df: DataFrame, key: str, mix: str, name: str, rows_per_block: int = 20_000) -> DataFrame:
     """Number the rows of each ``key`` from 0, in an order given by the uniform hash ``mix``.
 
     A key's rows are dealt over as many hash ranges as its count asks for, so a hot key is

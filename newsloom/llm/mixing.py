@@ -55,7 +55,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
 
 
 def mix_cuts(
-    rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, rows_per_block: int = 200_000
+    rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, rows_per_block: int = 20_000
 ) -> DataFrame:
     """Per source: target, whole epochs, and where the last epoch is cut.
 
@@ -110,7 +110,7 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST_EPOCHS,
     seed: str = SEED,
-    rows_per_block: int = 200_000,
+    rows_per_block: int = 20_000,
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact, mixing, query, sharding, simhash
+from newsloom.llm import exact, mixing, packing, query, sharding, simhash, substring
 from newsloom.llm.common import documents
 
+
+
+def vocabulary() -> str:
+    """The vocabulary file of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 WS = r"[\x20\x09-\x0D]"
 SIZE_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -79,3 +88,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_shard_histogram")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder), 8)
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, folder), vocabulary())
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.digest_of_rest(documents(spark, folder))

@@ -120,7 +120,7 @@ def shard_of(splitters: list[tuple[int, int, int]]) -> Column:
     return F.size(F.filter(F.array(*starts), lambda start: start <= key))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, rows_per_block: int = 200_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, rows_per_block: int = 20_000) -> DataFrame:
     """Deal documents to ``shards`` shards of near equal bytes.
 
     Columns doc_id, size, text_crc32, law ('bytes'), shard, slot (from 0 in its shard, without
