@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact, mixing, packing, query, sharding, simhash, substring
+from newsloom.llm import exact, mixing, packing, query, sharding, simhash, substring, toxicity
 from newsloom.llm.common import documents
 
 
@@ -98,3 +98,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digest_of_rest(documents(spark, folder))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
