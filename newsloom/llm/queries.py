@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact, mixing, packing, query, sharding, simhash, substring, toxicity
+from newsloom.llm import exact, mixing, packing, query, secrets, sharding, simhash, substring, toxicity
 from newsloom.llm.common import documents
 
 
@@ -103,3 +103,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_toxicity")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_digests(documents(spark, folder))

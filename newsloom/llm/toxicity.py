@@ -147,7 +147,7 @@ def features(text: str | None, lexicon: Lexicon, seen: dict[str, int]) -> list[f
     ]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Coefficients, the constant last, by Newton's method on the penalized likelihood."""
     x = np.column_stack([x, np.ones(len(x))])
     b, penalty = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
