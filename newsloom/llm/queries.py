@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact, mixing, packing, query, secrets, sharding, simhash, substring, toxicity
+from newsloom.llm import exact, licenses, mixing, packing, query, secrets, sharding, simhash, substring, toxicity
 from newsloom.llm.common import documents
 
 
@@ -108,3 +108,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_secret_scan")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_digests(documents(spark, folder))
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, folder)).drop("detections")
