@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact, licenses, mixing, packing, query, secrets, sharding, simhash, substring, toxicity
+from newsloom.llm import exact, licenses, mixing, packing, query, secrets, sharding, simhash, substring, topk, toxicity
 from newsloom.llm.common import documents
 
 
@@ -113,3 +113,23 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_license_scan")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, folder)).drop("detections")
+
+
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scores as (
+  select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0
+),
+ordered as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores)
+select query_id, cast(rank as integer) as rank, vec_id, score from ordered where rank <= 20"""
+
+
+@query("op5_exact_topk", TOPK_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return topk.exact_topk(vectors, vectors.where("vec_id % 20 = 0"))
