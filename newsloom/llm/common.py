@@ -76,3 +76,24 @@ def positions(df: DataFrame, key: str, mix: str, name: str, rows_per_block: int
     return numbered.join(starts, at).select(
         *[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + F.col("_row")).alias(name)
     )
+
+
+def text_mark() -> Column:
+    """Tells apart rows that repeat a doc_id with another text."""
+    return F.hash("text").alias("mark")
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, doubled: DataFrame) -> DataFrame:
+    """``docs`` less the rows named in ``dropped`` (id, mark), and one of each in ``doubled``.
+
+    Both are stored tables. ``doubled`` names rows to keep that occur more than once, equal in
+    id and text; there are none unless rows were repeated.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("m"))
+    named = lambda rows: rows.select("id", F.col("mark").alias("m"))
+    marked = docs.select(F.struct("*").alias("doc"), "doc_id", text_mark())
+    kept = marked.join(named(dropped), same, "left_anti")
+    if not doubled.isEmpty():
+        once = kept.join(named(doubled), same, "left_semi").dropDuplicates(["doc_id", "mark"])
+        kept = kept.join(named(doubled), same, "left_anti").unionByName(once)
+    return kept.select("doc.*")

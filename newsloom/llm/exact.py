@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import fuse
-from newsloom.llm.common import SPACE
+from newsloom.llm.common import SPACE, text_mark, without_rows
 from newsloom.session import materialize
 
 KEYS_PER_BUCKET = 200_000
@@ -26,24 +26,29 @@ def bare(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, length in code points, SHA-256 of the bare text, and columns ``more``."""
+    """doc_id, length in code points, SHA-256 of the bare text, mark, and columns ``more``."""
     return docs.select(
         "doc_id",
         F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("length"),
         F.unhex(F.sha2(bare(F.col("text")), 256)).alias("digest"),
+        text_mark(),
         *more,
     )
 
 
 def grouped(rows: DataFrame, *keys: str) -> DataFrame:
-    """Per digest (and ``keys``): rows, and the best row as (length, id).
+    """Per digest (and ``keys``): rows, and the best row.
 
     The order of ``best`` is most code points, then smallest id, a null id last.
     """
-    best = F.max(F.struct("length", F.negate("doc_id").alias("minus_id")))
+    best = F.max(_order())
     return rows.groupBy(*keys, "digest").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
 
 
+def _order() -> Column:
+    return F.struct("length", F.negate("doc_id").alias("minus_id"), "mark")
+
+
 def bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(buckets))
 
@@ -125,6 +130,24 @@ def halves(docs: DataFrame) -> Column:
     return F.when(F.col("doc_id") > (ends["a"] + ends["b"]) // 2, 1).otherwise(0)
 
 
+def _grouped_rows(docs: DataFrame, batch: Column | None, batches: int) -> tuple[DataFrame, DataFrame]:
+    """The stored digests, and the groups of more than one row."""
+    rows = materialize(digests(docs, (halves(docs) if batch is None else batch).alias("batch")), "exact-rows")
+    return rows, materialize(merged_groups(rows, docs, batches).where("n > 1"), "exact-groups")
+
+
+def drop_duplicates(docs: DataFrame, batch: Column | None = None, batches: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_duplicates`` keeps."""
+    rows, groups = _grouped_rows(docs, batch, batches)
+    members = rows.join(groups, "digest").select(
+        F.col("doc_id").alias("id"), "mark", _order().eqNullSafe(F.col("best")).alias("is_best")
+    )
+    members = materialize(members, "exact-members")
+    doubled = members.where("is_best").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    dropped = members.where("not is_best").select("id", "mark").distinct()
+    return without_rows(docs, materialize(dropped, "exact-dropped"), materialize(doubled, "exact-doubled"))
+
+
 def exact_duplicates(docs: DataFrame, batch: Column | None = None, batches: int = 2) -> DataFrame:
     """For each row the row that stays of its group of equal texts, white space aside.
 
@@ -136,12 +159,11 @@ def exact_duplicates(docs: DataFrame, batch: Column | None = None, batches: int
     null. Rows equal in text, length and id: one of them has kept = true. Empty input: no
     rows. Other columns are not looked at.
     """
-    rows = materialize(digests(docs, (halves(docs) if batch is None else batch).alias("batch")), "exact-rows")
-    groups = materialize(merged_groups(rows, docs, batches).where("n > 1"), "exact-groups")
-    single = rows.groupBy("digest", "doc_id", "length").agg(F.count(F.lit(1)).alias("times"))
+    rows, groups = _grouped_rows(docs, batch, batches)
+    single = rows.groupBy("digest", "doc_id", "length", "mark").agg(F.count(F.lit(1)).alias("times"))
     owned = single.join(groups, "digest", "left")
     keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.negate("best.minus_id"))
-    best = F.struct("length", F.negate("doc_id").alias("minus_id")).eqNullSafe(F.col("best")) | F.col("n").isNull()
+    best = _order().eqNullSafe(F.col("best")) | F.col("n").isNull()
     each = owned.select(
         "*", keep_id.alias("keep_id"), best.alias("is_best"), F.posexplode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.common import block_of, count_words, ordered_totals, random_key
+from newsloom.llm.common import WORD, block_of, count_words, ordered_totals, random_key
 from newsloom.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -129,3 +129,34 @@ def mix_sources(
     return rows.join(own, F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "size", "source_size", "target", words_taken().alias("taken")
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST_EPOCHS,
+    seed: str = SEED,
+    rows_per_block: int = 20_000,
+) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each row as often as it is taken.
+
+    A row taken in part is cut to its first words, joined by one space, and its n_chars, if
+    there is such a column, to their length. Rows of which no word is taken are left out.
+    """
+    rows = materialize(keyed(docs, seed=seed), "mix-rows")
+    cuts = mix_cuts(rows, weights, most, rows_per_block)
+    own = cuts.select(F.col("source").alias("_s"), "whole", "cut", "cut_words")
+    told = keyed(docs, F.struct("*").alias("doc"), seed=seed).join(own, F.col("source").eqNullSafe(F.col("_s")))
+    told = told.select("doc", "size", words_taken().alias("taken")).where("taken > 0")
+    times = F.concat(
+        F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")),
+        F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(F.array().cast("array<bigint>")),
+    )
+    each = told.select("doc", "size", F.explode(times).alias("words"))
+    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    each = each.withColumn("cut_text", F.when(F.col("words") < F.col("size"), first))
+    changed = {"text": F.coalesce("cut_text", "doc.text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col("cut_text").isNull(), F.col("doc.n_chars")).otherwise(F.char_length("cut_text").cast(kind))
+    return each.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import text_mark, without_rows
 from newsloom.llm.components import connected
 from newsloom.session import materialize
 
@@ -46,15 +47,16 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's 64 bits as a signed long."""
+    """(doc_id, mark, fp) with the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            made = np.fromiter((fingerprint(t, words) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            columns = [batch.column(0), batch.column(1), pa.array(made.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", text_mark(), "text").mapInArrow(run, f"doc_id {kind}, mark int, fp bigint")
 
 
 def layout(segments: int) -> list[tuple[int, int]]:
@@ -198,16 +200,33 @@ def near_duplicates(
 
 
 def components(rows: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, most: int = LARGEST_MEETING) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of stored rows (doc_id, fp)."""
+    """(fp, root, component_id) for each distinct fingerprint of stored rows of ``fingerprints``."""
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-prints")
     roots = connected(fingerprint_links(prints.select("fp"), distance, segments, most), "simhash-links")
     placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return materialize(placed.join(lowest, "root").select("fp", "component_id"), "simhash-components")
+    return materialize(placed.join(lowest, "root").select("fp", "root", "component_id"), "simhash-components")
 
 
 def _answer(rows: DataFrame, found: DataFrame) -> DataFrame:
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(found, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, most: int = LARGEST_MEETING
+) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each component: the smallest doc_id stays."""
+    rows = materialize(fingerprints(docs, words), "simhash-rows")
+    found = components(rows, distance, segments, most)
+    # a null id comes after all others
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    placed = materialize(rows.join(found, "fp").select("root", "doc_id", "mark", order.alias("at")), "simhash-placed")
+    first = placed.groupBy("root").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = placed.join(first, "root").select(F.col("doc_id").alias("id"), "mark", (F.col("at") == F.col("first")).alias("stays"))
+    members = materialize(members, "simhash-members")
+    doubled = members.where("stays").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    dropped = members.where("not stays").select("id", "mark").distinct()
+    return without_rows(docs, materialize(dropped, "simhash-dropped"), materialize(doubled, "simhash-doubled"))

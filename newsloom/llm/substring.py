@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import text_mark
 from newsloom.llm.wordhash import FACTORS, least_in, run_hashes, span_hashes, word_hashes, words_of
 from newsloom.session import materialize
 
@@ -38,11 +39,6 @@ def blocks_of(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, .
     return grams[least[start]], span_hashes(hashed, start, start + n + window - 1), start, n
 
 
-def text_mark() -> Column:
-    """Tells apart rows that repeat a doc_id with another text."""
-    return F.hash("text").alias("mark")
-
-
 def blocks(docs: DataFrame, window: int, gram: int, whole: bool) -> DataFrame:
     """One row (h, and if ``whole`` s, doc_id, mark, start, n) for each block of each text."""
 

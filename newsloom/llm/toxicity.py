@@ -286,3 +286,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_
         F.col("doc.doc_id").alias("doc_id"), held_out(F.col("doc.doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under the threshold."""
+    scored = score_toxicity(docs, fit(docs, labels, rows_per_class))
+    return scored.where(F.col("score") < threshold).select("doc.*")
