@@ -20,7 +20,7 @@ HEADLINE = (
     "normalize_text", "content_id", "normalize_url", "page_text", "classify_signal", "is_topic_article",
     "browse_articles", "keyword_search", "semantic_search", "semantic_search_filtered", "cosine_topk",
     "cosine_topk_batch", "approx_topk", "corpus_stats", "top_publishers", "daily_timeline", "embedding_stats",
-    "feed_items", "api_items", "admit_static", "admit_adaptive", "rolling_dup_rate", "attach_page_text",
+    "feed_items", "api_items", "admit_static", "rolling_dup_rate", "attach_page_text",
     "ingest_pages", "encode_hashed", "embed_incremental", "upsert_corpus", "upsert_vectors", "ingest_stream",
 )
 

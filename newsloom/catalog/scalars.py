@@ -123,27 +123,34 @@ def attribute(spark, folder):
 
 # Event times written the ways feeds write dates, by row.
 _FEED_DATE = (
-    "case event_id % 6 when 0 then {mail} || ' GMT' when 1 then {mail} || ' +0200' when 2 then {mail} || ' EST' "
-    "when 3 then {iso} || 'Z' when 4 then 'soon ' || event_type else null end"
+    "case event_id % 11 when 0 then {mail} || ' GMT' when 1 then {mail} || ' +0200' when 2 then {mail} || ' EST' "
+    "when 3 then {iso} || 'Z' when 4 then 'soon ' || event_type when 6 then {mail} || ' +0000 (UTC)' "
+    "when 7 then {short} || ' UT' when 8 then {bare} || ' GMT' when 9 then {hyphens} || ' GMT' when 10 then {long} || ' GMT' end"
+)
+_FEED_DATE_SQL = _FEED_DATE.format(
+    mail="strftime(ts, '%a, %d %b %Y %H:%M:%S')", iso="strftime(ts, '%Y-%m-%dT%H:%M:%S')",
+    short="strftime(ts, '%A, %-d %b %y %H:%M:%S')", bare="strftime(ts, '%a %d %b %Y %H:%M:%S')",
+    hyphens="strftime(ts, '%d-%b-%Y %H:%M:%S')", long="strftime(ts, '%a, %-d %B %Y %H:%M:%S')",
 )
-_FEED_DATE_SQL = _FEED_DATE.format(mail="strftime(ts, '%a, %d %b %Y %H:%M:%S')", iso="strftime(ts, '%Y-%m-%dT%H:%M:%S')")
 
 
 @query(
     "parse_feed_date",
     f"""select event_id, {_FEED_DATE_SQL} as raw,
-           strftime(date_trunc('second', ts) + case event_id % 6 when 1 then interval (-2) hour when 2 then interval 5 hour else interval 0 hour end,
+           strftime(date_trunc('second', ts) + case event_id % 11 when 1 then interval (-2) hour when 2 then interval 5 hour else interval 0 hour end,
                     '%Y-%m-%d %H:%M:%S.%f') as parsed_if_ok,
-           case event_id % 6 when 4 then 'bad' when 5 then 'missing' else 'ok' end as date_status
-    from events where event_id % 6 < 4
+           'ok' as date_status
+    from events where event_id % 11 not in (4, 5)
     union all
-    select event_id, {_FEED_DATE_SQL}, null, case event_id % 6 when 4 then 'bad' else 'missing' end
-    from events where event_id % 6 >= 4""",
+    select event_id, {_FEED_DATE_SQL}, null, case event_id % 11 when 4 then 'bad' else 'missing' end
+    from events where event_id % 11 in (4, 5)""",
 )
 def parse_feed_date(spark, folder):
     raw = F.expr(
         _FEED_DATE.format(
-            mail="date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss')", iso="date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"
+            mail="date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss')", iso="date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")",
+            short="date_format(ts, 'EEEE, d MMM yy HH:mm:ss')", bare="date_format(ts, 'EEE dd MMM yyyy HH:mm:ss')",
+            hyphens="date_format(ts, 'dd-MMM-yyyy HH:mm:ss')", long="date_format(ts, 'EEE, d MMMM yyyy HH:mm:ss')",
         )
     )
     parsed = dates.parse_feed_date(F.col("raw"))

@@ -64,6 +64,12 @@ def feed_bodies(spark, folder):
     xml = F.when(
         F.col("chunk") % 2 == 0, F.concat(head, "items", F.lit("</channel></rss>"))
     ).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>Atom title</title>'), "items", F.lit("</feed>")))
+    # every other RSS document declares prefixes of its own, every other Atom one prefixes all of its elements
+    own = F.replace(F.replace(xml, F.lit("<media:"), F.lit("<m.x:")), F.lit("xmlns:media"), F.lit("xmlns:m.x"))
+    own = F.replace(own, F.lit("<rss "), F.lit('<rss xmlns:a10="http://www.w3.org/2005/Atom" '))
+    own = F.regexp_replace(own, r"<link>(http[^<]*)</link>", '<a10:link href="$1"/>')
+    prefixed = F.regexp_replace(F.replace(xml, F.lit("xmlns="), F.lit("xmlns:at=")), r"<(/?)([a-z])", "<$1at:$2")
+    xml = F.when(F.col("chunk") % 4 == 2, own).when(F.col("chunk") % 4 == 3, prefixed).otherwise(xml)
     return docs.select(
         F.concat(F.lit("https://feeds.example.com/"), F.col("chunk").cast("string")).alias("feed_url"),
         F.when(F.col("chunk") % 3 == 0, F.concat(F.lit("Feed "), F.col("chunk").cast("string"))).alias("feed_name"),

@@ -25,7 +25,7 @@ from newsloom.catalog.fixtures import (
 )
 from newsloom.catalog.joins import sql_page_text
 from newsloom.functions.text import content_id
-from newsloom.operators.admission import admit_static
+from newsloom.operators.admission import admit_static, visit_order
 from newsloom.operators.upsert import upsert_corpus, upsert_vectors
 from newsloom.plans.ingest import to_articles, to_corpus_batch
 from newsloom.schemas import CORPUS, DISCOVERED, VECTORS
@@ -191,18 +191,22 @@ def _document_stream(spark, folder):
     return file_stream(spark, f"{folder}/documents.parque[t]", schema)
 
 
+# Two streams into one table, English first; a content belongs to the first that brings it.
 @query(
     "ingest_stream",
-    f"with {CORPUS_SQL} select url, content_id, title, signal_type, {sql_time('date')} as date from corpus",
+    f"""with {ARTICLES_SQL},
+    placed as (select *, row_number() over (partition by content_id order by bucket <> 'en', seq) as place from articles)
+    select url, content_id, title, signal_type, {sql_time('date')} as date from placed where place = 1""",
 )
 def stream(spark, folder):
     store = CorpusTable(spark, work_path(spark, "stream-table"), buckets=8)
     events = table(spark, folder, "events")
-    run = ingest_stream(
-        _document_stream(spark, folder), store, work_path(spark, "stream-checkpoint"),
-        lambda batch: shape_articles(batch, events).drop("text"), jsonl_path=work_path(spark, "stream-jsonl"),
-    )
-    run.awaitTermination()
+    for name, own in (("english", F.col("lang") == "en"), ("others", F.col("lang") != "en")):
+        run = ingest_stream(
+            _document_stream(spark, folder).where(own), store, name, work_path(spark, "stream-checkpoint"),
+            lambda batch: shape_articles(batch, events).drop("text"), jsonl_path=work_path(spark, "stream-jsonl"),
+        )
+        run.awaitTermination()
     return store.read().select("url", "content_id", "title", "signal_type", time_text("date").alias("date"))
 
 
@@ -222,12 +226,14 @@ def stream_dedup(spark, folder):
 
 @query(
     "dedup_against_corpus",
-    f"""with {DISCOVERED_SQL}, known as (select distinct url_norm from hosts where page_url in (select url from seen))
-    select distinct url_norm from hosts where url_norm not in (select url_norm from known)""",
+    f"""with {DISCOVERED_SQL}, known as (select distinct url_norm from hosts where page_url in (select url from seen)),
+    visited as (select *, row_number() over (partition by url_norm order by page, bucket_pos, pos) as place from hosts)
+    select url_norm, url, bucket, page, pos from visited where place = 1 and url_norm not in (select url_norm from known)""",
 )
 def dedup_table(spark, folder):
     persisted = table(spark, folder, "pages").where(F.contains("url", F.lit("utm_source=feed")))
-    return dedup_against_corpus(discovered(spark, folder), persisted).select("url_norm")
+    fresh = dedup_against_corpus(discovered(spark, folder), persisted, visit_order())
+    return fresh.select("url_norm", "url", "bucket", "page", "pos")
 
 
 # Admitted pages through text extraction and the article contract to the corpus.

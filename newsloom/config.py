@@ -15,7 +15,6 @@ DUP_WINDOW_PAGES = 4
 DUP_RATE_BAD = 0.60
 ITEMS_PER_PAGE = 50
 EMBEDDING_DIM = 384
-EXACT_SCAN_BELOW = 1000
 SEARCH_OVERFETCH = 3
 SNIPPET_CHARS = 500
 MIN_CONTENT_CHARS = 10
@@ -122,4 +121,3 @@ TOPICS = (
 
 FOOTBALL_DOMAIN = "football"
 LEAGUE_KEYS = tuple(t[0] for t in TOPICS if t[1] == FOOTBALL_DOMAIN)
-BUCKET_ORDER = tuple(t[0] for t in TOPICS)

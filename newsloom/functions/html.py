@@ -30,7 +30,3 @@ def page_text(html: Column) -> Column:
     for pattern in (DROPPED_PATTERN, COMMENT_PATTERN, HEAD_PATTERN, TAG_PATTERN):
         text = F.regexp_replace(text, pattern, " ")
     return normalize_text(_decode(text))
-
-
-def page_title(html: Column) -> Column:
-    return normalize_text(_decode(F.regexp_extract(html, TITLE_PATTERN, 1)))

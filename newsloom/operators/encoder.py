@@ -76,16 +76,18 @@ def encode_query(spark, text: str, dim: int = EMBEDDING_DIM) -> list[float]:
 
 
 def encode_with_model(
-    texts: DataFrame, key: str, text: Column, load_model: Callable[[], Callable[[list[str]], list]]
+    texts: DataFrame, key: str, text: Column, load_model: Callable[[], Callable[[list[str]], list]],
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, embedding) from any model. ``load_model`` runs once per task and returns a
-    function from a list of texts to a list of vectors."""
+    """(key, embedding) from any model, and the columns named in ``carry``. ``load_model`` runs
+    once per task and returns a function from a list of texts to a list of vectors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = load_model()
         for batch in batches:
             vectors = [list(map(float, v)) for v in encode(batch["text"].tolist())]
-            yield pd.DataFrame({key: batch[key], "embedding": vectors})
+            yield batch[[*kept]].assign(embedding=vectors)
 
-    key_type = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text.alias("text")).mapInPandas(run, f"{key} {key_type}, embedding array<float>")
+    kept = (key, *carry)
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
+    return texts.select(*kept, text.alias("text")).mapInPandas(run, f"{kinds}, embedding array<float>")

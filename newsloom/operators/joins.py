@@ -32,12 +32,13 @@ def anti_join_seen(items: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def pending_embeddings(corpus: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Corpus rows with a content id that has no vector yet."""
-    return (
-        corpus.where(F.col("content_id").isNotNull())
-        .select("content_id", "url", "title", "content")
-        .join(vectors.select("content_id"), "content_id", "left_anti")
-    )
+    """Corpus rows with a content id that has no vector yet.
+
+    Settled on ids; texts move only in the join with the ids that are pending, and not at all
+    where these are few.
+    """
+    pending = unembedded_ids(corpus, vectors)
+    return corpus.select("content_id", "url", "title", "content").join(pending, "content_id", "left_semi")
 
 
 def unembedded_ids(corpus: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.config import EXACT_SCAN_BELOW, SEARCH_OVERFETCH
+from newsloom.config import SEARCH_OVERFETCH
 from newsloom.functions.text import snippet
 from newsloom.operators.filters import keyword_match, min_similarity, post_filter_hits, where_corpus
 from newsloom.operators.joins import META_COLUMNS, hydrate_hits
-from newsloom.operators.similarity import TIE_DIGITS, cosine_topk
-from newsloom.session import materialize
+from newsloom.operators.similarity import TIE_DIGITS, cosine_topk, with_similarity
+from newsloom.session import work_path
 
 ARTICLE_COLUMNS = (
     "url", "title", "content", "publisher_name", "published_date", "content_id", "bucket",
@@ -71,8 +69,10 @@ def _narrow_to_page(rows: DataFrame, offset: int, limit: int) -> tuple[DataFrame
             return rows.where(F.lit(False)), 0
         inside = F.lit(False)
         if first["at"] is not None:
-            newest = bucket <= F.lit(first["at"])
-            inside = newest if last["at"] is None else newest & (bucket >= F.lit(last["at"]))
+            # Bounds on the date itself reach the files' statistics.
+            inside = F.col("date") < F.expr(f"timestamp_micros({first['at']}) + interval 1 {unit}")
+            if last["at"] is not None:
+                inside = inside & (F.col("date") >= F.expr(f"timestamp_micros({last['at']})"))
         if last["at"] is None:
             inside = inside | F.col("date").isNull()
         rows, offset = rows.where(inside), offset - before
@@ -127,12 +127,16 @@ def semantic_search(
     check_range("limit", limit, 1, 50)
     check_range("floor", floor, 0.0, 1.0)
     pool = overfetch * limit
-    if mode == "prefilter" and (topic or signal_type):
-        allowed = post_filter_hits(corpus, topic, signal_type).select("content_id")
-        vectors = vectors.join(allowed, "content_id", "left_semi")
     if query is None:
         query, vectors = [1.0], vectors.where(F.lit(False))
-    hits = min_similarity(_bounded(cosine_topk(vectors, query, pool)), floor)
+    if mode == "prefilter" and (topic or signal_type):
+        # Scored first, so that numbers rather than vectors meet the filter.
+        allowed = post_filter_hits(corpus, topic, signal_type).select("content_id")
+        scored = with_similarity(vectors, query).where(~F.isnan("similarity")).join(allowed, "content_id", "left_semi")
+        nearest = scored.orderBy(F.round("similarity", TIE_DIGITS).desc(), "content_id").limit(pool)
+    else:
+        nearest = cosine_topk(vectors, query, pool)
+    hits = min_similarity(_bounded(nearest), floor)
     hydrated = post_filter_hits(hydrate_hits(hits, corpus, pool), topic, signal_type)
     best = hydrated.orderBy(F.round("similarity", TIE_DIGITS).desc(), "content_id").limit(limit)
     return best.withColumn("similarity", F.round("similarity", 4)).select(
@@ -151,48 +155,51 @@ def result_projection(results: DataFrame) -> DataFrame:
     return shaped.select(*RESULT_COLUMNS)
 
 
-def list_count(rows: int) -> int:
-    """Number of inverted lists for a table of ``rows`` vectors; 0 means scan exactly."""
-    return 0 if rows < EXACT_SCAN_BELOW else max(1, int(math.sqrt(rows)))
-
-
 class CellIndex:
     """Vectors filed under their nearest k-means centre.
 
-    Centres come from a training sample; every vector is then filed. A search reads only
-    the files of the cells nearest to the query and ranks those vectors exactly.
+    Centres are fitted on all vectors that have a direction. The table is partitioned by cell,
+    so a search reads only the files of the cells nearest to the query; it ranks those vectors
+    exactly. An index is kept under a path and can be opened again.
     """
 
-    def __init__(self, table: DataFrame, centres: np.ndarray | None):
+    def __init__(self, table: DataFrame, centres: np.ndarray):
         self.table = table
         self.centres = centres
 
     @classmethod
-    def build(cls, vectors: DataFrame, seed: int = 7, train_per_list: int = 256) -> CellIndex:
-        rows = vectors.count()
-        lists = list_count(rows)
-        if not lists:
-            return cls(vectors, None)
+    def build(cls, vectors: DataFrame, lists: int, path: str | None = None, seed: int = 7) -> CellIndex:
+        """File ``vectors`` under ``lists`` centres; about the square root of their number is usual."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.feature import Normalizer
         from pyspark.ml.functions import array_to_vector
 
+        path = path or work_path(vectors.sparkSession, "cells")
         usable = vectors.where(F.exists("embedding", lambda x: x != 0))
         as_vector = usable.withColumn("_raw", array_to_vector(F.col("embedding").cast("array<double>")))
         unit = Normalizer(p=2.0, inputCol="_raw", outputCol="_unit").transform(as_vector)
-        share = min(1.0, 1.2 * lists * train_per_list / rows)
-        sample = unit.sample(share, seed) if share < 1.0 else unit
-        model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="cell", maxIter=20).fit(
-            sample.select("_unit")
-        )
+        model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="cell", maxIter=20).fit(unit.select("_unit"))
         filed = model.transform(unit).drop("_raw", "_unit")
-        path_rows = materialize(filed, "cells")
-        return cls(path_rows, np.array(model.clusterCenters()))
+        # AQE splits a large cell over several tasks, so none has to write it alone.
+        filed.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/cells")
+        centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+        spark = vectors.sparkSession
+        spark.createDataFrame(centres, "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+        return cls.open(spark, path)
 
-    def search(self, query: list[float], k: int, probes: int = 8) -> DataFrame:
-        if self.centres is None:
-            return cosine_topk(self.table, query, k)
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> CellIndex:
+        """An index built earlier. The centres are as many as its lists."""
+        rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+        return cls(spark.read.parquet(f"{path}/cells"), np.array([r["centre"] for r in rows]))
+
+    def probed(self, query: list[float], probes: int) -> DataFrame:
+        """The vectors of the ``probes`` cells nearest to a query that has a direction."""
         q = np.asarray(query, dtype=np.float64)
         near = np.argsort(((self.centres - q / np.linalg.norm(q)) ** 2).sum(axis=1), kind="stable")[:probes]
-        candidates = self.table.where(F.col("cell").isin([int(c) for c in near]))
+        return self.table.where(F.col("cell").isin([int(c) for c in near]))
+
+    def search(self, query: list[float], k: int, probes: int = 8) -> DataFrame:
+        """The k nearest of the probed cells; none for a zero query, which has no direction."""
+        candidates = self.probed(query, probes) if np.any(query) else self.table.where(F.lit(False))
         return cosine_topk(candidates, query, k)

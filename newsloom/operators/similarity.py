@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from newsloom.config import EMBEDDING_DIM
-
 TIE_DIGITS = 10
 MAX_SHIPPED_CELLS = 2_000_000
 PRODUCT_CELLS = 4_000_000
@@ -94,6 +92,20 @@ def _leading(keys: np.ndarray, floor: float, k: int, ids: pa.Array, rows: np.nda
     return found
 
 
+def query_width(queries: DataFrame) -> int:
+    """The one length of the query vectors; 0 without any."""
+    sizes = queries.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if sizes["low"] is not None and sizes["low"] != sizes["high"]:
+        raise ValueError(f"query vectors have from {sizes['low']} to {sizes['high']} numbers")
+    return sizes["high"] or 0
+
+
+def misfits(vectors: DataFrame, dim: int) -> DataFrame:
+    """(width, vectors): how many vectors have another length than ``dim``; null for no vector."""
+    width = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    return vectors.groupBy(width.alias("width")).agg(F.count("*").alias("vectors")).where(~F.col("width").eqNullSafe(F.lit(dim)))
+
+
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     """The k best of all tasks' candidates per query, with their rank."""
     order = W.partitionBy("query_id").orderBy(F.round("similarity", TIE_DIGITS).desc(), F.asc("content_id"))
@@ -126,15 +138,21 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def cosine_topk_batch(
-    vectors: DataFrame, queries: DataFrame, k: int, dim: int = EMBEDDING_DIM,
+    vectors: DataFrame, queries: DataFrame, k: int, dim: int | None = None,
     max_cells: int = MAX_SHIPPED_CELLS, block_rows: int = 20_000, block_queries: int = 2_000,
 ) -> DataFrame:
     """The k nearest vectors of every query (``query_id``, ``embedding``).
 
+    The width is that of the queries, which must agree; ``misfits`` counts the vectors that
+    have another one and so no similarity.
+
     A query set of at most ``max_cells`` numbers is shipped to the tasks; a larger one
     goes through the blocked form, in which neither side is ever held whole.
     """
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+    dim = query_width(queries) if dim is None else dim
+    if not dim:
+        return _ranked(queries.sparkSession.createDataFrame([], HIT_SCHEMA), k)
     limit = max(1, max_cells // dim)
     head = queries.limit(limit + 1).toArrow()
     if head.num_rows <= limit:

@@ -14,8 +14,6 @@ guess until nothing changes; each round settles at least the earliest open row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,10 +179,3 @@ def upsert_vectors(existing: DataFrame, batch: DataFrame) -> DataFrame:
     )
     known = existing.select("content_id").join(fresh.select("content_id"), "content_id", "left_semi")
     return kept.unionByName(fresh.join(known, "content_id", "left_anti").select(kept.columns))
-
-
-def with_sequence(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """A ``seq`` column: the given order columns if it is a single one, else input order."""
-    if len(order) == 1:
-        return df.withColumn("seq", F.col(order[0]).cast("bigint"))
-    return df.withColumn("seq", F.monotonically_increasing_id())

@@ -7,14 +7,21 @@ per-feed item limit needs neither a shuffle nor a window.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.config import ITEMS_PER_PAGE
+from newsloom.functions.binding import let
 from newsloom.functions.dates import date_status, parse_feed_date
 from newsloom.functions.text import non_blank
 from newsloom.schemas import FEED_BODY
 
+# Namespaces of feed elements (fixed values).
+ATOM_URI = "http://www.w3.org/2005/Atom"
+MEDIA_URI = "http://search.yahoo.com/mrss/"
+
 
 def _first_filled(*values: Column) -> Column:
     return F.coalesce(*[non_blank(v) for v in values])
@@ -73,6 +80,28 @@ def _from_atom(entry: Column) -> Column:
     )
 
 
+def _same_prefixes(body: Column) -> Column:
+    """The document with the prefixes that the schema names, whatever it declares for them.
+
+    Prefixes bound to the Atom and media namespaces become ``atom:`` and ``media:``; in a
+    document whose root is an Atom feed, Atom's prefix goes, as if it were the default.
+    """
+
+    def declared(text: Column, uri: str) -> Column:
+        pattern = rf"xmlns:([A-Za-z_][\w.-]*)\s*=\s*[\"']{re.escape(uri)}[\"']"
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+    def renamed(text: Column, uri: str, to: Column) -> Column:
+        tag = lambda prefix: F.concat(F.lit(r"<(/?)\Q"), prefix, F.lit(r"\E:"))
+        return F.aggregate(
+            declared(text, uri), text, lambda doc, prefix: F.regexp_replace(doc, tag(prefix), F.concat(F.lit("<$1"), to))
+        )
+
+    atom_root = F.rlike(body, F.lit(r"^(?:\s|<[?][^>]*>|<!--.*?-->|<![A-Z][^>]*>)*<(?:[A-Za-z_][\w.-]*:)?feed[\s>]"))
+    to = F.when(atom_root, F.lit("")).otherwise(F.lit("atom:"))
+    return let(renamed(body, ATOM_URI, to), lambda doc: renamed(doc, MEDIA_URI, F.lit("media:")))
+
+
 ITEM_TYPE = (
     "struct<url:string,title:string,excerpt:string,published_text:string,"
     "keywords:array<string>,thumbnail:string>"
@@ -91,7 +120,7 @@ def feed_items(feeds: DataFrame, limit: int = ITEMS_PER_PAGE) -> DataFrame:
     rss = F.coalesce(F.transform(doc["channel"]["item"], _from_rss), none)
     atom = F.coalesce(F.transform(doc["entry"], _from_atom), none)
     mapped = F.filter(F.concat(rss, atom), lambda i: F.coalesce(i["url"], F.lit("")) != "")
-    parsed = feeds.withColumn("_doc", F.from_xml(F.col("body"), FEED_BODY))
+    parsed = feeds.withColumn("_doc", F.from_xml(_same_prefixes(F.col("body")), FEED_BODY))
     resolved = F.coalesce(
         F.nullif(F.col("feed_name"), F.lit("")),
         non_blank(doc["channel"]["title"]),

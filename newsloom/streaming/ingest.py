@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from newsloom.functions.urls import normalize_url
+from newsloom.operators.joins import anti_join_seen
+from newsloom.operators.ranking import first_per_key
 from newsloom.session import materialize
 from newsloom.sources.tables import CorpusTable, has_tag
 
@@ -21,19 +23,23 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
 
 
 def ingest_stream(
-    items: DataFrame, table: CorpusTable, checkpoint: str, to_batch: Callable[[DataFrame], DataFrame],
-    jsonl_path: str | None = None,
+    items: DataFrame, table: CorpusTable, name: str, checkpoint: str, to_batch: Callable[[DataFrame], DataFrame],
+    jsonl_path: str | None = None, rejects: Callable[[DataFrame], DataFrame] | None = None, rejects_path: str | None = None,
 ) -> StreamingQuery:
     """Start ingestion of all available input; the query ends when it is drained.
 
     ``to_batch`` turns a micro-batch of items into corpus rows with ``seq``. The table
-    records the batch id, so a batch that is delivered again after a failure is skipped.
+    records ``name`` and the batch id, so a batch that is delivered again after a failure is
+    skipped. ``name`` must be the stream's own: ids start at 0 in every stream. Rows that
+    ``rejects`` gives of a micro-batch go to ``rejects_path``, a folder per batch.
     """
 
     def apply(micro_batch: DataFrame, batch_id: int) -> None:
-        tag = f"batch-{batch_id}"
+        tag = f"{name}-{batch_id}"
         if has_tag(table.spark, table.root, tag):
             return
+        if rejects is not None and rejects_path is not None:
+            rejects(micro_batch).write.mode("overwrite").parquet(f"{rejects_path}/{tag}")
         rows = materialize(to_batch(micro_batch), "micro-batch")
         table.upsert(rows, tag=tag, jsonl_path=jsonl_path)
 
@@ -45,12 +51,10 @@ def ingest_stream(
     )
 
 
-def dedup_against_corpus(micro_batch: DataFrame, corpus: DataFrame) -> DataFrame:
-    """New URLs of a micro-batch: the state is the corpus table itself."""
+def dedup_against_corpus(micro_batch: DataFrame, corpus: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The first row in ``order`` of each new URL of a micro-batch; the state is the corpus table itself."""
     keyed = micro_batch.withColumn("url_norm", normalize_url(F.col("url")))
-    once = keyed.dropDuplicates(["url_norm"])
-    known = corpus.select(normalize_url(F.col("url")).alias("url_norm"))
-    return once.join(known, "url_norm", "left_anti")
+    return anti_join_seen(first_per_key(keyed, ["url_norm"], order), corpus)
 
 
 def dedup_stream(items: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:

@@ -3,12 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from newsloom.catalog import load
 from tests.compare import connect, difference
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# Without SQL: compared with a plain sequential run, or by recall, in their own tests.
-ROWS_ONLY = {"admit_adaptive", "approx_topk"}
+QUERIES = {name: build for name, (build, _) in load().items()}
+SQL = {name: sql for name, (_, sql) in load().items() if sql is not None}
+# Without SQL: worked cases and properties in its own tests.
+ROWS_ONLY = {"admit_adaptive"}
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +31,10 @@ def test_query(spark, con, name):
         assert df.count() > 0
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == [
         "url", "title", "content", "publisher_name", "published_date", "content_id", "similarity", "bucket",

@@ -187,4 +187,3 @@ def test_page_text(spark):
         "<script>x<y</script ><aside class='a'>no</aside><p>three\nfour</p><footer>f</footer></body></html>"
     )
     assert apply(spark, [page, "", None], html.page_text) == ["One <two> three four", "", ""]
-    assert apply(spark, [page], html.page_title) == ["A & B"]

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import filters, ranking, search
+from newsloom.operators import filters, ranking, search, similarity
 from newsloom.operators.aggregates import corpus_stats, rolling_dup_rate
 from newsloom.operators.encoder import encode_hashed, encode_query
+from newsloom.operators.joins import pending_embeddings
 from newsloom.operators.similarity import cosine_topk, cosine_topk_batch, with_similarity
 from newsloom.plans.embed import embed_incremental
 from newsloom.schemas import CORPUS, VECTORS
@@ -29,6 +30,10 @@ def small(spark):
     return align_schema(df, CORPUS)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def urls(df):
     return [r["url"] for r in df.collect()]
 
@@ -146,8 +151,8 @@ def test_cell_index_recall(spark):
     centres = rng.normal(size=(20, 16)) * 3
     matrix = np.concatenate([c + rng.normal(size=(80, 16)) for c in centres])
     table = vector_table(spark, matrix)
-    index = search.CellIndex.build(table)
-    assert index.centres is not None and len(index.centres) == 40
+    index = search.CellIndex.build(table, lists=40)
+    assert len(index.centres) == 40
     hits = []
     for row in (3, 500, 1200):
         exact = set(brute(matrix, matrix[row], 20))
@@ -156,7 +161,52 @@ def test_cell_index_recall(spark):
     assert np.mean(hits) >= 0.8
     whole = index.search(matrix[3].tolist(), 20, probes=40)
     assert [r["content_id"] for r in whole.collect()] == brute(matrix, matrix[3], 20)
-    assert search.CellIndex.build(table.limit(50)).centres is None
+    few = {f for r in index.probed(matrix[3].tolist(), 8).select(F.input_file_name().alias("f")).distinct().collect() for f in r}
+    every = {f for r in index.table.select(F.input_file_name().alias("f")).distinct().collect() for f in r}
+    assert 0 < len(few) < len(every) / 2
+    assert "PartitionFilters: [" in plan_of(index.probed(matrix[3].tolist(), 8)) and index.search([0.0] * 16, 5).count() == 0
+
+
+def test_cell_index_is_kept(spark, tmp_path):
+    matrix = np.random.default_rng(1).normal(size=(60, 8))
+    built = search.CellIndex.build(vector_table(spark, matrix), 4, str(tmp_path / "index"))
+    again = search.CellIndex.open(spark, str(tmp_path / "index"))
+    assert np.array_equal(built.centres, again.centres)
+    assert [r["content_id"] for r in again.search(matrix[0].tolist(), 5, probes=4).collect()] == brute(matrix, matrix[0], 5)
+
+
+def test_width_comes_from_the_queries(spark):
+    matrix = np.random.default_rng(2).normal(size=(30, 64))
+    table = vector_table(spark, matrix)
+    asked = spark.createDataFrame([("q", matrix[4].tolist())], "query_id string, embedding array<double>")
+    assert [r["content_id"] for r in similarity.cosine_topk_batch(table, asked, 3).orderBy("rank").collect()] == brute(matrix, matrix[4], 3)
+    mixed = asked.unionByName(spark.createDataFrame([("r", [1.0])], asked.schema))
+    with pytest.raises(ValueError):
+        similarity.cosine_topk_batch(table, mixed, 3)
+    odd = table.withColumn("embedding", F.when(F.col("content_id") == "v0001", F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    assert [tuple(r) for r in similarity.misfits(odd, 64).collect()] == [(3, 1)]
+
+
+def test_texts_move_once_and_vectors_not_at_all(spark, tmp_path):
+    """What is pending is settled on ids."""
+    for name, schema in (("corpus", CORPUS), ("vectors", VECTORS)):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+    corpus_, vectors_ = (spark.read.parquet(str(tmp_path / n)) for n in ("corpus", "vectors"))
+    reads = [line for line in plan_of(pending_embeddings(corpus_, vectors_)).splitlines() if line.startswith("ReadSchema")]
+    assert not any("embedding" in line for line in reads) and sum("content:" in line for line in reads) == 1
+
+
+def test_deep_pages_push_their_dates_down(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "SHALLOW_OFFSET", 100)
+    rows = spark.range(3000).selectExpr(
+        "concat('u', id) as url", "timestamp_micros(id * 60000000L) as date", "'t' as title", "'c' as content"
+    )
+    align_schema(rows, CORPUS).write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    narrowed, left = search._narrow_to_page(stored, 2500, 10)
+    assert "GreaterThanOrEqual(date" in plan_of(narrowed) and "LessThan(date" in plan_of(narrowed)
+    page = narrowed.orderBy(*search.newest_first()).offset(left).limit(10).collect()
+    assert [r["url"] for r in page] == [f"u{2999 - 2500 - i}" for i in range(10)]
 
 
 def test_encoder(spark):

@@ -1,5 +1,7 @@
 """Feed documents and API pages to item rows."""
 
+import re
+
 import json
 
 from pyspark.sql import functions as F
@@ -52,6 +54,17 @@ def test_rss_items(spark):
     assert [i["date_status"] for i in items] == ["ok", "bad", "missing", "missing"]
 
 
+def test_namespaces_whatever_their_prefix(spark):
+    rss = RSS.replace("xmlns:media", "xmlns:m.x").replace("<media:", "<m.x:").replace("xmlns:atom", "xmlns:a10")
+    rss = rss.replace("<atom:", "<a10:").replace("</atom:", "</a10:")
+    atom = '<?xml version="1.0"?><!-- feed -->' + re.sub(r"<(/?)([a-z])", r"<\1at:\2", ATOM.replace("xmlns=", "xmlns:at="))
+    plain, other = (
+        feed_items(feeds(spark, ("f1", None, "x", a), ("f2", None, "x", b))).orderBy("source_feed", "pos").collect()
+        for a, b in ((RSS, ATOM), (rss, atom))
+    )
+    assert plain == other and len(plain) > 2
+
+
 def test_atom_malformed_and_names(spark):
     items = feed_items(feeds(spark, ("f1", None, "x", ATOM), ("f2", "n", "x", "<rss><chan"), ("f3", "n", "x", None))).collect()
     assert [(i["url"], i["publisher_name"], i["excerpt"], i["keywords"]) for i in items] == [

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog.fixtures import articles, corpus
 from newsloom.sources.tables import CorpusTable
-from newsloom.streaming.ingest import dedup_stream, file_stream, ingest_stream
+from newsloom.streaming.ingest import dedup_against_corpus, dedup_stream, file_stream, ingest_stream
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -13,9 +13,9 @@ def contents(df):
     return {(r["url"], r["content_id"]) for r in df.select("url", "content_id").collect()}
 
 
-def run(spark, source, schema, store, checkpoint, per_batch, lines=None):
+def run(spark, source, schema, store, checkpoint, per_batch, lines=None, name="articles"):
     stream = file_stream(spark, source, schema, files_per_batch=per_batch)
-    ingest_stream(stream, store, checkpoint, lambda batch: batch.drop("text"), lines).awaitTermination()
+    ingest_stream(stream, store, name, checkpoint, lambda batch: batch.drop("text"), lines).awaitTermination()
 
 
 def test_files_and_reruns(spark, tmp_path):
@@ -41,6 +41,27 @@ def test_files_and_reruns(spark, tmp_path):
     assert contents(a.read()) == want
 
 
+def test_two_streams_into_one_table(spark, tmp_path):
+    rows = articles(spark, SMALL)
+    store = CorpusTable(spark, str(tmp_path / "t"), buckets=4)
+    for name, chunk in (("feeds", "seq < 80"), ("api", "seq >= 80")):
+        rows.where(chunk).coalesce(1).write.parquet(str(tmp_path / name))
+        run(spark, str(tmp_path / name), rows.schema, store, str(tmp_path / f"c-{name}"), 1, name=name)
+    want = contents(corpus(spark, SMALL))
+    assert contents(store.read()) == want
+    run(spark, str(tmp_path / "api"), rows.schema, store, str(tmp_path / "c-again"), 1, name="api")
+    assert contents(store.read()) == want
+
+
+def test_dedup_against_corpus_keeps_the_first(spark):
+    items = spark.createDataFrame(
+        [(2, "https://a.com/x#late"), (1, "https://A.com/x"), (3, "https://b.com/"), (0, "https://c.com/seen")], "pos int, url string"
+    )
+    known = spark.createDataFrame([("https://c.com/seen?utm_source=q",)], "url string")
+    kept = dedup_against_corpus(items, known, [F.col("pos")]).orderBy("pos").collect()
+    assert [r["pos"] for r in kept] == [1, 3]
+
+
 def test_dedup_stream(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in (["https://a.com/x", "HTTPS://A.com/x#1"], ["https://a.com/x?utm_source=z", "https://b.com"]):
