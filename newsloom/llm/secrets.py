@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and random strings told from identifiers by Markov models.
 
-The values that the fixed patterns find are samples of random strings; long tokens outside
-them are samples of ordinary identifiers. Character pairs of both are counted over all rows.
+The values that the fixed patterns find are labelled as random strings; long tokens outside
+them that hold no digit are labelled as ordinary identifiers. Character pairs of both are counted over all rows.
 A long token is reported where the log-likelihood ratio of the two models is high enough.
 """
 
@@ -70,7 +70,8 @@ def pair_ratios(rows: DataFrame) -> list[float]:
     Counts are over all rows of ``scanned``; the driver gets at most one count per pair and class.
     """
     samples = rows.select(F.explode(F.transform("base", lambda b: F.struct(b["value"].alias("v"), F.lit(1).alias("y")))).alias("s"))
-    plain = rows.select(F.explode(F.transform("tokens", lambda t: F.struct(t["value"].alias("v"), F.lit(0).alias("y")))).alias("s"))
+    ordinary = F.filter("tokens", lambda t: ~F.rlike(t["value"], F.lit("[0-9]")))
+    plain = rows.select(F.explode(F.transform(ordinary, lambda t: F.struct(t["value"].alias("v"), F.lit(0).alias("y")))).alias("s"))
     texts = samples.unionByName(plain).groupBy("s.v", "s.y").agg(F.lit(1).alias("once"))  # copies count once
     place = F.sequence(F.lit(1), F.char_length("v") - 1)
     pairs = texts.where(F.char_length("v") > 1).select(

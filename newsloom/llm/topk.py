@@ -240,7 +240,7 @@ def exact_topk(
     reach = {r["leaf"]: r["r"] for r in asked.groupBy("leaf").agg(F.max("away").alias("r")).collect()}
     blocks = {leaf: -(-r["n"] // block_rows) for leaf, r in held.items()}
 
-    by_leaf = F.create_map(*[F.lit(x) for item in blocks.items() for x in item]) if blocks else F.create_map()
+    by_leaf = F.create_map(*[F.lit(x) for item in {-1: 1, **blocks}.items() for x in item])
     place = lambda leaf, part: (leaf.cast("bigint") * F.lit(2**32) + part).alias("block")
     part = F.pmod(F.xxhash64("vec_id"), F.coalesce(by_leaf[F.col("leaf")], F.lit(1)))
     data = data.select(place(F.col("leaf"), part), "vec_id", "q")
