@@ -27,7 +27,7 @@ from newsloom.catalog.joins import sql_page_text
 from newsloom.functions.text import content_id
 from newsloom.operators.admission import admit_static, visit_order
 from newsloom.operators.upsert import upsert_corpus, upsert_vectors
-from newsloom.plans.ingest import to_articles, to_corpus_batch
+from newsloom.plans.ingest import to_articles, to_corpus_batch, to_rejects
 from newsloom.schemas import CORPUS, DISCOVERED, VECTORS
 from newsloom.session import materialize, work_path
 from newsloom.sources import files
@@ -264,3 +264,46 @@ def ingest_pages(spark, folder):
     nothing = spark.createDataFrame([], CORPUS)
     after = upsert_corpus(nothing, batch, F.lit(STAMP).cast("timestamp"))
     return after.select("url", "content_id", "content", "bucket")
+
+
+# The same chain over a stream, without quotas: first offers of new URLs, rejects beside the corpus.
+@query(
+    "ingest_page_stream",
+    f"""with {DISCOVERED_SQL},
+    known as (select distinct url_norm from hosts where page_url in (select url from seen)),
+    visited as (
+      select *, row_number() over (partition by url_norm order by page, bucket_pos, pos) as place from hosts
+      where url_norm not in (select url_norm from known)
+    ),
+    fetched as (
+      select v.page, v.bucket_pos, v.pos, v.url, v.bucket, {sql_page_text('p.html')} as content
+      from visited v join pages p on p.url = v.page_url where place = 1
+    ),
+    valid as (
+      select *, sha1(content) as content_id, row_number() over (order by page, bucket_pos, pos) as seq from fetched
+      where length(content) >= 10
+    )
+    select url, content_id, bucket, true as kept from valid where seq in (select min(seq) from valid group by content_id)
+    union all
+    select url, sha1(content), bucket, false from fetched where length(content) < 10""",
+)
+def ingest_page_stream(spark, folder):
+    landing, rejected = work_path(spark, "found-items"), work_path(spark, "rejects")
+    order = F.col("page") * (1 << 40) + F.col("bucket_pos") * (1 << 36) + F.col("pos")
+    found = discovered(spark, folder).withColumn("seq", order.cast("bigint"))
+    found.coalesce(1).write.parquet(landing)
+    pages, persisted = table(spark, folder, "pages"), seen(spark, folder)
+
+    def fresh(batch):
+        return align_schema(dedup_against_corpus(batch, persisted, visit_order()), ITEMS)
+
+    store = CorpusTable(spark, work_path(spark, "page-table"), buckets=8)
+    run = ingest_stream(
+        file_stream(spark, landing, found.schema), store, "pages", work_path(spark, "page-checkpoint"),
+        lambda batch: to_corpus_batch(to_articles(fresh(batch), pages)),
+        rejects=lambda batch: to_rejects(fresh(batch), pages).select("url", "content_id", "bucket"), rejects_path=rejected,
+    )
+    run.awaitTermination()
+    kept = store.read().select("url", "content_id", "bucket", F.lit(True).alias("kept"))
+    left = spark.read.parquet(f"{rejected}/*").select("url", "content_id", "bucket", F.lit(False).alias("kept"))
+    return kept.unionByName(left)

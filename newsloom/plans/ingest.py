@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import html, text, topics, urls
 from newsloom.functions.dates import date_status
-from newsloom.operators.filters import valid_articles
+from newsloom.operators.filters import rejected_articles, valid_articles
 from newsloom.operators.joins import attach_page_text, attribute_topic
 
 
@@ -20,15 +20,29 @@ def stamp(articles: DataFrame, at: Column | None = None) -> DataFrame:
     return articles.withColumn("crawl_ts", F.current_timestamp() if at is None else at)
 
 
+def with_page_text(admitted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Admitted items labelled and with the text of their page."""
+    labelled = attribute_topic(classify(admitted)).withColumn("url_norm", urls.normalize_url(F.col("url")))
+    return attach_page_text(labelled, pages, html.page_text(F.col("html")))
+
+
 def to_articles(admitted: DataFrame, pages: DataFrame, at: Column | None = None) -> DataFrame:
     """Admitted items to checked articles: text, content id, publisher domain, contract."""
-    labelled = attribute_topic(classify(admitted)).withColumn("url_norm", urls.normalize_url(F.col("url")))
-    fetched = attach_page_text(labelled, pages, html.page_text(F.col("html")))
-    return finish_articles(fetched, at)
+    return finish_articles(with_page_text(admitted, pages), at)
+
+
+def to_rejects(admitted: DataFrame, pages: DataFrame) -> DataFrame:
+    """The admitted items that ``to_articles`` leaves out, with what they would have been."""
+    return rejected_articles(shaped_articles(with_page_text(admitted, pages)))
 
 
 def finish_articles(fetched: DataFrame, at: Column | None = None) -> DataFrame:
     """Rows that have their content: normalize, hash, check and stamp."""
+    return stamp(valid_articles(shaped_articles(fetched)), at).drop("raw_domain", "date_status")
+
+
+def shaped_articles(fetched: DataFrame) -> DataFrame:
+    """Rows as the contract judges them."""
     given = F.col("publisher_domain") if "publisher_domain" in fetched.columns else F.lit(None).cast("string")
     status = (
         F.col("date_status")
@@ -36,7 +50,7 @@ def finish_articles(fetched: DataFrame, at: Column | None = None) -> DataFrame:
         else date_status(F.col("published_date").cast("string"), F.col("published_date"))
     )
     content = text.normalize_text(F.col("content"))
-    shaped = (
+    return (
         fetched.withColumn("content", content)
         .withColumn("content_id", F.sha1("content"))
         .withColumn("extracted_content_length", F.char_length("content"))
@@ -46,7 +60,6 @@ def finish_articles(fetched: DataFrame, at: Column | None = None) -> DataFrame:
         .withColumn("raw_domain", urls.raw_domain(given, F.col("url")))
         .withColumn("publisher_domain", urls.publisher_domain(given, F.col("url")))
     )
-    return stamp(valid_articles(shaped), at).drop("raw_domain", "date_status")
 
 
 def to_corpus_batch(articles: DataFrame) -> DataFrame:

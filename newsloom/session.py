@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="newsloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the working folders made inside, once their last reader is done.
+
+    What is computed from them must be written or collected before the scope ends.
+    """
+    outer, _SCOPES.made = getattr(_SCOPES, "made", None), []
+    try:
+        yield
+    finally:
+        made, _SCOPES.made = _SCOPES.made, outer
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/newsloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/newsloom/{label}-{uuid.uuid4().hex}"
+    if getattr(_SCOPES, "made", None) is not None:
+        _SCOPES.made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

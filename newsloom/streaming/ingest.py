@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from newsloom.functions.urls import normalize_url
 from newsloom.operators.joins import anti_join_seen
 from newsloom.operators.ranking import first_per_key
-from newsloom.session import materialize
+from newsloom.session import materialize, scratch
 from newsloom.sources.tables import CorpusTable, has_tag
 
 
@@ -38,10 +38,11 @@ def ingest_stream(
         tag = f"{name}-{batch_id}"
         if has_tag(table.spark, table.root, tag):
             return
-        if rejects is not None and rejects_path is not None:
-            rejects(micro_batch).write.mode("overwrite").parquet(f"{rejects_path}/{tag}")
-        rows = materialize(to_batch(micro_batch), "micro-batch")
-        table.upsert(rows, tag=tag, jsonl_path=jsonl_path)
+        with scratch(table.spark):
+            if rejects is not None and rejects_path is not None:
+                rejects(micro_batch).write.mode("overwrite").parquet(f"{rejects_path}/{tag}")
+            rows = materialize(to_batch(micro_batch), "micro-batch")
+            table.upsert(rows, tag=tag, jsonl_path=jsonl_path)
 
     return (
         items.writeStream.foreachBatch(apply)

@@ -1,8 +1,11 @@
 """Streams give what the batch gives, in one file or many, once or twice."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from newsloom.catalog.fixtures import articles, corpus
+from newsloom.session import shared_dir
 from newsloom.sources.tables import CorpusTable
 from newsloom.streaming.ingest import dedup_against_corpus, dedup_stream, file_stream, ingest_stream
 
@@ -53,6 +56,15 @@ def test_two_streams_into_one_table(spark, tmp_path):
     assert contents(store.read()) == want
 
 
+def test_batches_leave_no_working_folders(spark, tmp_path):
+    rows = articles(spark, SMALL)
+    rows.where("seq < 20").coalesce(1).write.parquet(str(tmp_path / "in"))
+    kept = os.path.join(shared_dir(spark), "newsloom")
+    before = set(os.listdir(kept))
+    run(spark, str(tmp_path / "in"), rows.schema, CorpusTable(spark, str(tmp_path / "t"), buckets=4), str(tmp_path / "c"), 1)
+    assert set(os.listdir(kept)) == before
+
+
 def test_dedup_against_corpus_keeps_the_first(spark):
     items = spark.createDataFrame(
         [(2, "https://a.com/x#late"), (1, "https://A.com/x"), (3, "https://b.com/"), (0, "https://c.com/seen")], "pos int, url string"
