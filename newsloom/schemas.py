@@ -37,7 +37,7 @@ ARTICLES = _struct(
 CORPUS = _struct(
     "url string, publisher_name string, date timestamp, content_id string, title string, "
     "content string, bucket string, league string, signal_type string, source_type string, "
-    "source_feed string, inserted_at timestamp"
+    "source_feed string, url_norm string, inserted_at timestamp"
 )
 
 VECTORS = _struct(

@@ -105,7 +105,7 @@ class CorpusTable:
         spread = new.repartition("ub", F.pmod(F.xxhash64("content_id"), F.lit(4)))
         spread.sortWithinPartitions("ub", "date").write.mode("overwrite").partitionBy("ub").parquet(f"{self.root}/rows/commit={commit}")
         if jsonl_path is not None:
-            write_jsonl(changes.drop("is_update", "ub"), f"{jsonl_path}/commit={commit}", "overwrite")
+            write_jsonl(changes.drop("is_update", "ub", "url_norm"), f"{jsonl_path}/commit={commit}", "overwrite")
         _append_log(self.spark, self.root, commit, rewritten, tag)
         return commit
 
