@@ -10,6 +10,7 @@ these counts gives the score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from newsloom.llm.common import in_batches
 from newsloom.session import materialize
 
 ROWS_PER_CLASS = 15_000
 MOST_TERMS = 2_000
 LEAST_CONTEXTS = 12
+LEAST_TEXTS = 8
 PURITY = 30.0
 SHORTEST_FUZZY = 5
 WINDOW = 8
@@ -36,6 +38,9 @@ SEED_TERMS = (
     "asshole bastard bitch coward disgusting dumb fool fuck garbage idiot imbecile jerk liar loser moron pathetic "
     "scum shit stupid trash ugly vermin worthless"
 ).split()
+SEED_WEIGHT = 5.0
+# Of ``features`` and the constant, where there are no labels to learn from.
+UNTRAINED = (0.5, 0.0, 0.1, 0.0, 0.2, 0.8, 0.1, 1.0, 0.0, 0.0, 0.0, -3.0)
 REPORTING = frozenset(
     "said says say called calls calling quoted quotes quote wrote writes word words term terms insult insults slur "
     "slurs phrase means meaning defined definition reported cited reads article".split()
@@ -51,26 +56,27 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Lexicon:
-    """A trie of words and of stems (word beginnings)."""
+    """A trie of words and of stems (word beginnings), each with the weight of its evidence."""
 
-    words: frozenset[str]
-    stems: frozenset[str]
+    words: dict[str, float]
+    stems: dict[str, float]
     root: dict = field(default_factory=dict)
     heads: frozenset[str] = frozenset()
     middles: frozenset[str] = frozenset()
 
     def __post_init__(self):
-        for term in self.words | self.stems:
+        for term in {*self.words, *self.stems}:
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
             node["end"] = (term in self.words, term in self.stems, len(term) >= SHORTEST_FUZZY)
-        long = [t for t in self.words | self.stems if len(t) >= SHORTEST_FUZZY]
+        long = [t for t in {*self.words, *self.stems} if len(t) >= SHORTEST_FUZZY]
         self.heads = frozenset(t[:2] for t in long)
         self.middles = frozenset(t[2:5] for t in long)
 
-    def exact(self, word: str) -> bool:
-        return word in self.words or any(word[:n] in self.stems for n in STEMS)
+    def exact(self, word: str) -> float:
+        """The weight of the term a word is or begins with; 0 for none."""
+        return max(self.words.get(word, 0.0), *[self.stems.get(word[:n], 0.0) for n in STEMS])
 
     def near(self, word: str) -> bool:
         """Whether a term lies within one edit of the word, or a stem of its beginning.
@@ -105,30 +111,32 @@ class Lexicon:
         return word[:2] in self.heads or word[1:4] in self.middles or word[2:5] in self.middles or word[3:6] in self.middles
 
 
-FEATURES = 7
+FEATURES = 11
 
 
-def features(text: str | None, lexicon: Lexicon, seen: dict[str, int]) -> list[float]:
-    """Counts of plain and quoted, exact and misspelled matches, and their density.
+def features(text: str | None, lexicon: Lexicon, seen: dict[str, tuple[int, float]]) -> list[float]:
+    """Plain and quoted, exact and misspelled matches: their weights, numbers and density, and
+    whether plain exact ones are at least one, two, three.
 
-    ``seen`` remembers what words stand for: 0 nothing, 1 a term, 2 a term misspelled.
+    ``seen`` remembers what words stand for: 0 nothing, 1 a term, 2 a term misspelled, and the weight.
     """
     lowered = (text or "").lower()
     words = WORD.findall(lowered)
     hits = []
     for word in set(words):
-        kind = seen.get(word)
-        if kind is None:
-            kind = 1 if lexicon.exact(word) else 2 if lexicon.candidate(word) and lexicon.near(word) else 0
+        stands = seen.get(word)
+        if stands is None:
+            weight = lexicon.exact(word)
+            kind = 1 if weight else 2 if lexicon.candidate(word) and lexicon.near(word) else 0
             if len(seen) >= 500_000:
                 seen.clear()
-            seen[word] = kind
-        if kind:
-            hits.append(word)
+            stands = seen[word] = (kind, weight)
+        if stands[0]:
+            hits.append((word, stands))
     if not hits:
         return [0.0] * FEATURES
     marks = np.array([m.start() for m in QUOTES.finditer(lowered)])
-    wanted, found = set(hits), []
+    wanted, found = dict(hits), []
     for i, match in enumerate(WORD.finditer(lowered)):
         if match[0] in wanted:
             # an odd number of marks on its line so far: inside a quotation
@@ -136,17 +144,29 @@ def features(text: str | None, lexicon: Lexicon, seen: dict[str, int]) -> list[f
             inside = int(((marks >= line) & (marks < match.start())).sum()) % 2 == 1
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
             quoted = inside or not REPORTING.isdisjoint(near)
-            found.append((i, seen[match[0]] if match[0] in seen else 1, quoted))
-    plain = [i for i, _, quoted in found if not quoted]
+            found.append((i, *wanted[match[0]], quoted))
+    plain = [i for i, _, _, quoted in found if not quoted]
     together = max((sum(abs(i - j) <= WINDOW for j in plain[k : k + 2 * WINDOW]) for k, i in enumerate(plain)), default=0)
-    count = lambda kind, quoted: float(np.log1p(sum(k == kind and q == quoted for _, k, q in found)))
-    exact_words = len({w for w in wanted if seen.get(w) == 1})
+    weights = lambda quoted: [w for _, kind, w, q in found if kind == 1 and q == quoted]
+    misspelled = lambda quoted: float(np.log1p(sum(kind == 2 and q == quoted for _, kind, _, q in found)))
     return [
-        count(1, False), count(2, False), count(1, True), count(2, True), float(together),
-        float(np.log1p(exact_words)), min(1.0, 10.0 * len(plain) / max(1, len(words))),
+        float(np.log1p(sum(weights(False)))), misspelled(False), float(np.log1p(sum(weights(True)))), misspelled(True),
+        float(together), max(weights(False), default=0.0), max(weights(True), default=0.0),
+        min(1.0, 10.0 * len(plain) / max(1, len(words))), *[float(len(weights(False)) >= n) for n in (1, 2, 3)],
     ]
 
 
+def fit_rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """As ``fit_logistic``, but no count lowers the score: columns that would are left out."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        b = np.zeros(x.shape[1] + 1)
+        b[np.append(used, True)] = fit_logistic(x[:, used], y, weight)
+        if (b[:-1] >= 0).all():
+            return b
+        used &= b[:-1] >= 0
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Coefficients, the constant last, by Newton's method on the penalized likelihood."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -164,12 +184,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 @dataclass
 class Model:
-    words: tuple[str, ...]
-    stems: tuple[str, ...]
+    words: dict[str, float]
+    stems: dict[str, float]
     coefficients: tuple[float, ...]
 
     def scorer(self):
-        lexicon, seen = Lexicon(frozenset(self.words), frozenset(self.stems)), {}
+        lexicon, seen = Lexicon(self.words, self.stems), {}
         b = np.array(self.coefficients)
 
         def score(text: str | None) -> float:
@@ -180,58 +200,68 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> DataFrame:
-    """(text, y): at most ``rows_per_class`` rows of each label that are not held out.
+    """(text, y): about ``rows_per_class`` rows of each label, or all, that are not held out.
 
-    The choice is by a hash of the id. Because of the bound, the ids are broadcast.
+    A row is chosen if the hash of its id falls into its class's share of the hash's range,
+    so no task has to see a class whole. Because of the bound, the ids are broadcast.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows_per_class)
+    known = materialize(known, "toxic-known")
+    shares = {r["y"]: min(1.0, rows_per_class / r["n"]) for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for item in {-1: 0.0, **shares}.items() for x in item])[F.col("y")]
+    chosen = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 4) / F.lit(2.0**60) < share)
     chosen = materialize(chosen.select(F.col("doc_id").alias("_id"), "y"), "toxic-chosen")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     return rows.select(F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
-def learn_terms(rows: DataFrame, least: int = LEAST_CONTEXTS, purity: float = PURITY, most: int = MOST_TERMS) -> tuple[list[str], list[str]]:
-    """Words and stems that mark toxic rows.
+def learn_terms(
+    rows: DataFrame, least: int = LEAST_CONTEXTS, purity: float = PURITY, most: int = MOST_TERMS, texts: int = LEAST_TEXTS
+) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems that mark toxic rows, with the logarithm of how much more frequent they are there.
 
-    A term's support is the number of different words it follows in toxic rows, which copies
-    of one text do not raise. It must be ``purity`` times as frequent, by the class's number
-    of words, as in the other rows. A stem needs several words, none of which has half of it.
+    A term needs ``least`` different words ahead of it in toxic rows, which copies of a text do
+    not raise, and ``texts`` different texts, which repeats inside one do not raise. It must be
+    ``purity`` times as frequent there, by the class's number of words, as in the other rows.
+    A stem needs several words, none of which has half of its uses.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))
-    each = rows.select("y", words.alias("words")).select(
-        "y",
+    each = rows.select("y", F.xxhash64("text").alias("d"), words.alias("words")).select(
+        "y", "d",
         F.inline(F.transform("words", lambda w, i: F.struct(w.alias("word"), F.get("words", i - 1).alias("before")))),
     )
-    toxic = each.where("y = 1").groupBy("word", "before").agg(F.count(F.lit(1)).alias("n"))
-    toxic = toxic.groupBy("word").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n1"))
+    support = [F.count_distinct("before").alias("contexts"), F.count_distinct("d").alias("texts")]
+    toxic = each.where("y = 1").groupBy("word").agg(*support, F.count(F.lit(1)).alias("n1"))
     clean = each.where("y = 0").groupBy("word").agg(F.count(F.lit(1)).alias("n0"))
     counts = materialize(
         toxic.join(clean, "word", "full").select(
-            "word", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("contexts", "n1", "n0")]
+            "word", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("contexts", "texts", "n1", "n0")]
         ),
         "toxic-words",
     )
     totals = counts.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
     scale = (totals["n0"] or 0) / max(totals["n1"] or 0, 1)
-    pure = (F.col("contexts") >= least) & (F.col("contexts") * scale >= purity * (F.col("n0") + 0.5))
+    pure = (F.col("contexts") >= least) & (F.col("texts") >= texts) & (F.col("contexts") * scale >= purity * (F.col("n0") + 0.5))
     single = counts.where(pure & (F.char_length("word") >= 3))
-    single = single.orderBy(F.desc("contexts"), "word").limit(most).select("word").collect()
-    stems = counts.select(
-        F.explode(F.array(*[F.when(F.char_length("word") > n, F.substring("word", 1, n)) for n in STEMS])).alias("stem"),
-        "contexts", "n0",
-    ).where("stem is not null")
+    single = single.orderBy(F.desc("contexts"), "word").limit(most).collect()
+
+    beginnings = F.array(*[F.when(F.char_length("word") > n, F.substring("word", 1, n)) for n in STEMS])
+    stems = counts.select(F.explode(beginnings).alias("stem"), "contexts", "texts", "n0").where("stem is not null")
     stems = stems.groupBy("stem").agg(
-        F.sum("contexts").alias("contexts"), F.sum("n0").alias("n0"), F.max("contexts").alias("largest"),
-        F.count(F.when(F.col("contexts") > 0, 1)).alias("kinds"),
+        F.sum("contexts").alias("contexts"), F.sum("texts").alias("texts"), F.sum("n0").alias("n0"),
+        F.max("contexts").alias("largest"), F.count(F.when(F.col("contexts") > 0, 1)).alias("kinds"),
     )
     stems = stems.where(pure & (F.col("kinds") >= 5) & (2 * F.col("largest") < F.col("contexts")))
-    stems = {r["stem"] for r in stems.orderBy(F.desc("contexts"), "stem").limit(most).collect()}
-    shortest = sorted(s for s in stems if not any(s[:n] in stems for n in range(STEMS[0], len(s))))
-    plain = [r["word"] for r in single if not any(r["word"][:n] in stems for n in STEMS)]
-    return sorted(set(plain) | set(SEED_TERMS)), shortest
+    likely = {r["stem"]: r for r in stems.orderBy(F.desc("contexts"), "stem").limit(most).collect()}
+    # sums over words may count a text more than once: the likely ones are counted again as stems
+    uses = each.where("y = 1").select("d", "before", F.explode(beginnings).alias("stem")).where(F.col("stem").isin([*likely]))
+    met = uses.groupBy("stem").agg(*support).where((F.col("contexts") >= least) & (F.col("texts") >= texts))
+    weight = lambda r: round(max(0.5, math.log((r["contexts"] * scale + 0.5) / (r["n0"] + 0.5))), 3)
+    stems = {r["stem"]: weight(likely[r["stem"]]) for r in met.select("stem").collect()}
+    shortest = {s: stems[s] for s in sorted(stems) if not any(s[:n] in stems for n in range(STEMS[0], len(s)))}
+    plain = {r["word"]: weight(r) for r in single if not any(r["word"][:n] in stems for n in STEMS)}
+    return dict.fromkeys(SEED_TERMS, SEED_WEIGHT) | plain, shortest
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
@@ -240,21 +270,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     words, stems = learn_terms(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, seen = Lexicon(frozenset(words), frozenset(stems)), {}
+        lexicon, seen = Lexicon(words, stems), {}
         for batch in batches:
             made = [features(t, lexicon, seen) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     kind = rows.schema["y"].dataType.simpleString()
-    # rows with equal features are one row with a weight; at most twice ``rows_per_class`` come back
-    got = rows.mapInArrow(run, f"x array<double>, y {kind}").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    # rows with equal features are one row with a weight; no more rows come back than the sample has
+    got = in_batches(rows).mapInArrow(run, f"x array<double>, y {kind}").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
     if not got:
-        return Model(tuple(words), tuple(stems), (1.0,) * FEATURES + (-2.0,))
+        return Model(words, stems, UNTRAINED)
     x, y, n = (np.array([r[k] for r in got], float) for k in ("x", "y", "n"))
     classes = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()
     for row in classes:
         n[y == row["toxic"]] *= row["count"] / max(n[y == row["toxic"]].sum(), 1)
-    return Model(tuple(words), tuple(stems), tuple(fit_logistic(x, y, n)))
+    return Model(words, stems, tuple(map(float, fit_rising(x, y, n))))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -267,13 +297,13 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc", "score"])
 
     schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("score", T.DoubleType())])
-    return docs.select(F.struct("*").alias("doc"), "text").mapInArrow(run, schema)
+    return in_batches(docs).select(F.struct("*").alias("doc"), "text").mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """Score every whole text. Columns doc_id, held_out, score (0 to 1), predicted.
 
-    The model learns from at most ``rows_per_class`` labelled rows a class, chosen by a hash
+    The model learns from about ``rows_per_class`` labelled rows a class, chosen by a hash
     of the id, whose id is not held out. Only the text enters a score.
 
     Null or empty text: no matches, the score of such rows. Null doc_id: not held out. Repeated

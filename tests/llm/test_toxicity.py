@@ -19,7 +19,7 @@ def edits(a: str, b: str) -> int:
 def test_automaton_is_edit_distance():
     rng = random.Random(1)
     terms = ["idiot", "worthless", "scum", "banana", "abcde", "aabbaab"]
-    lexicon = toxicity.Lexicon(frozenset(terms), frozenset())
+    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 1.0), {})
     for _ in range(4000):
         word = list(rng.choice(terms)) if rng.random() < 0.7 else [rng.choice("abcdeio") for _ in range(rng.randint(1, 8))]
         for _ in range(rng.randrange(3)):
@@ -36,13 +36,13 @@ def test_automaton_is_edit_distance():
 
 
 def test_stems_match_beginnings():
-    lexicon = toxicity.Lexicon(frozenset(), frozenset(["lowei"]))
+    lexicon = toxicity.Lexicon({}, {"lowei": 2.0})
     assert lexicon.exact("loweischaft") and not lexicon.exact("flowei")
     assert lexicon.near("lo0eischaft") and lexicon.near("oweischaft") and not lexicon.near("lauterbach")
 
 
 def test_quotation_is_set_apart():
-    lexicon = toxicity.Lexicon(frozenset(["idiot"]), frozenset())
+    lexicon = toxicity.Lexicon({"idiot": 5.0}, {})
     made = lambda t: toxicity.features(t, lexicon, {})
     assert made("you are an idiot today")[0] > 0 and made("you are an idiot today")[2] == 0
     assert made('the sign read "what an idiot" in red')[0] == 0 and made('the sign "an idiot" x')[2] > 0
@@ -108,5 +108,5 @@ def test_copies_teach_no_words(spark):
     rows += [(1000 + i, copy) for i in range(60)]
     labels += [(1000 + i, 1, 1) for i in range(60)]
     labels_ = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    words, _ = toxicity.learn_terms(toxicity.labelled_sample(frame(spark, rows), labels_, 1000), least=3)
+    words, _ = toxicity.learn_terms(toxicity.labelled_sample(frame(spark, rows), labels_, 1000), least=3, texts=3)
     assert not set(copy.split()) & set(words) and "grumphen" in words
