@@ -102,6 +102,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     ``start + i`` occurs at another place too. A block has at most ``window - gram + 1`` windows.
     """
     often = blocks(docs, window, gram, False).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    often = materialize(often, "substring-often")  # stored, so that the join can split a hot hash
     hits = materialize(blocks(docs, window, gram, True).join(often, "h", "left_semi"), "substring-blocks")
     first = F.min(F.struct("doc_id", "mark", "start"))
     kinds = hits.groupBy("h", "s").agg(F.count(F.lit(1)).alias("times"), first.alias("first"), F.min("n").alias("n"))
