@@ -17,6 +17,15 @@ WORD = f"[^{SPACE}]+"
 UNIT = float(2**60)
 
 
+TEXTS_PER_BATCH = 1_000
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the number of rows that Python workers get at a time bounded for whole texts."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+    return docs
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

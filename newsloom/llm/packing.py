@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import positions
+from newsloom.llm.common import in_batches, positions
 from newsloom.llm.tokens import encoder
 from newsloom.session import materialize
 
@@ -172,7 +172,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return in_batches(docs).select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import text_mark, without_rows
+from newsloom.llm.common import in_batches, text_mark, without_rows
 from newsloom.llm.components import connected
 from newsloom.session import materialize
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_mark(), "text").mapInArrow(run, f"doc_id {kind}, mark int, fp bigint")
+    return in_batches(docs).select("doc_id", text_mark(), "text").mapInArrow(run, f"doc_id {kind}, mark int, fp bigint")
 
 
 def layout(segments: int) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import text_mark
+from newsloom.llm.common import in_batches, text_mark
 from newsloom.llm.wordhash import FACTORS, least_in, run_hashes, span_hashes, word_hashes, words_of
 from newsloom.session import materialize
 
@@ -64,7 +64,7 @@ def blocks(docs: DataFrame, window: int, gram: int, whole: bool) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"h bigint, s bigint, doc_id {kind}, mark int, start int, n int" if whole else "h bigint"
-    return docs.select("doc_id", text_mark(), "text").mapInArrow(run, schema)
+    return in_batches(docs).select("doc_id", text_mark(), "text").mapInArrow(run, schema)
 
 
 def windows_of_blocks(texts: DataFrame, window: int) -> DataFrame:
@@ -81,7 +81,7 @@ def windows_of_blocks(texts: DataFrame, window: int) -> DataFrame:
                 arrays = [h[block], w, s[block], at.astype(np.int32), times[block]]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "w", "s", "at", "times"])
 
-    return texts.mapInArrow(run, "h bigint, w bigint, s bigint, at int, times bigint")
+    return in_batches(texts).mapInArrow(run, "h bigint, w bigint, s bigint, at int, times bigint")
 
 
 def _by_text(rows: DataFrame, *fields: str) -> DataFrame:
@@ -147,7 +147,7 @@ def without(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def _finished(docs: DataFrame, listed: DataFrame, window: int, texts: bool) -> DataFrame:
-    rows = docs.select("doc_id", text_mark(), "text").join(listed.hint("shuffle_hash"), _same_text(), "left")
+    rows = in_batches(docs).select("doc_id", text_mark(), "text").join(listed.hint("shuffle_hash"), _same_text(), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
