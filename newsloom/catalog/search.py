@@ -233,9 +233,9 @@ def embed(spark, folder):
 @query(
     "embed_incremental_model",
     f"""with {CORPUS_SQL}, v0 as (select v.content_id from (with {VECTORS_SQL} select * from vectors) v)
-    select content_id, cast(null as double) as a_share, false as fresh from v0
+    select content_id, cast(null as bigint) as a_percent, false as fresh from v0
     union all
-    select content_id, round(cast((length(t) - length(replace(t, 'a', ''))) / length(t) as float), 4), true
+    select content_id, cast(floor(100.0 * (length(t) - length(replace(t, 'a', ''))) / length(t) + 0.0001) as bigint), true
     from (select content_id, coalesce(title, '') || '. ' || content as t from corpus where content_id not in (select content_id from v0))""",
 )
 def embed_model(spark, folder):
@@ -245,8 +245,9 @@ def embed_model(spark, folder):
     )
     after = embed_incremental(corpus(spark, folder), old, at=at, model=_letter_model)
     fresh = F.col("embedded_at") == at
-    share = F.when(fresh, F.round(F.get("embedding", F.lit(0)), 4))
-    return after.select("content_id", share.cast("double").alias("a_share"), fresh.alias("fresh"))
+    share = F.get("embedding", F.lit(0)).cast("double")
+    percent = F.when(fresh, F.floor(100 * share + 0.0001))
+    return after.select("content_id", percent.cast("bigint").alias("a_percent"), fresh.alias("fresh"))
 
 
 @query(
