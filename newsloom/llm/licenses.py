@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import string
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,18 @@ def spaced(pattern: str) -> str:
 
 
 def keyword_pattern(keywords: set[str]) -> str:
-    """Finds a text that may hold one of the keywords, whatever stands between their words."""
-    ways = sorted(BETWEEN.join(map(re.escape, k.split())) for k in keywords)
-    return r"(?i)(?<![0-9a-z])(?:" + "|".join(ways) + ")"
+    """Finds a text that may hold one of the keywords, whatever stands between their words.
+
+    Keywords with the same first two letters share them, so that few are tried at most words.
+    """
+
+    def branches(rests: list[str], letters: int) -> str:
+        if not letters:
+            return "|".join(BETWEEN.join(map(re.escape, r.split(" "))) for r in rests)
+        groups = {first: list(rest) for first, rest in groupby(rests, lambda r: r[0])}
+        return "|".join(f"{first}(?:{branches([r[1:] for r in rest], letters - 1)})" for first, rest in groups.items())
+
+    return rf"(?i)(?<![0-9a-z])(?:{branches(sorted(keywords), 2)})"
 
 
 def even(text: Column) -> Column:
