@@ -23,6 +23,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     low = low.select("node", F.least("node", "m").alias("m"))
+    low = materialize(low, "links-low")  # stored, so that the join can split a hub's links
     moved = both.join(low, F.col("a") == F.col("node"))
     if large:
         moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
