@@ -16,7 +16,7 @@ CERTAINTY = {EXACT: 0.98, NOTICE: 0.9, NAME: 0.75, HINT: 0.5}
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str  # a word or words the text must hold for the pattern to be tried
+    keyword: str  # beginnings of words, split by |, one of which every match of the pattern holds
     pattern: str
     priority: int
 
@@ -32,16 +32,16 @@ WRITTEN = (
     ("mit-0", "mit 0", "mit 0", NAME),
     ("x11", "x11", "x11 licen[cs]e", NAME),
     ("as-is", "warranty", "the software is provided as is without warranty of any kind", NOTICE),
-    ("as-is", "warranty", "(?:as is|as available) (?:basis )?without (?:any )?warrant(?:y|ies)", HINT),
+    ("as-is", "without warrant|without any warrant", "(?:as is|as available) (?:basis )?without (?:any )?warrant(?:y|ies)", HINT),
     ("isc", "isc", "isc licen[cs]e", NAME),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", EXACT),
     ("hpnd", "permission to use", "permission to use copy modify and distribute this software and its documentation for any purpose", EXACT),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", EXACT),
     ("bsd", "bsd", "bsd (?:style )?licen[cs]e", NAME),
-    ("bsd", "bsd", "berkeley software distribution", NAME),
+    ("bsd", "berkeley", "berkeley software distribution", NAME),
     ("bsd-3-clause", "neither the name", "neither the name of [^.]{1,120} may be used to endorse or promote products", EXACT),
     ("bsd-3-clause", "bsd", "(?:new|revised|modified) bsd licen[cs]e", NAME),
-    ("bsd-2-clause", "bsd", "(?:simplified|freebsd) (?:bsd )?licen[cs]e", NAME),
+    ("bsd-2-clause", "simplified bsd|simplified licen|freebsd", "(?:simplified|freebsd) (?:bsd )?licen[cs]e", NAME),
     ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software", EXACT),
     ("apache", "apache", "licensed under the apache licen[cs]e", NOTICE),
     ("apache", "apache", "apache (?:software )?licen[cs]e", NAME),
@@ -114,7 +114,7 @@ WRITTEN = (
     ("elastic", "elastic", "elastic licen[cs]e", NAME),
     ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|strict)(?: licen[cs]e)?", NAME),
     ("commons-clause", "commons clause", "commons clause(?: license condition)?", NAME),
-    ("openrail", "openrail", "(?:bigscience |creativeml )?open ?rail(?: [ms])?", NAME),
+    ("openrail", "openrail|open rail", "(?:bigscience |creativeml )?open ?rail(?: [ms])?", NAME),
     ("openrail", "responsible ai", "responsible ai licen[cs]e", NAME),
     ("upl", "universal permissive", "universal permissive licen[cs]e", NAME),
     ("json", "good not evil", "the software shall be used for good not evil", EXACT),
@@ -124,7 +124,7 @@ WRITTEN = (
     ("cc", "creative commons", "creative commons(?: licen[cs]e)?", NAME),
     ("cc", "creative commons", "(?:licensed|available|released) under (?:a|the) creative commons", NOTICE),
     ("ogl", "open government", "open government licen[cs]e(?: v?[123](?: 0)?)?", NAME),
-    ("etalab", "etalab", "licence ouverte(?: open licence)?(?: etalab)?", NAME),
+    ("etalab", "licence ouverte", "licence ouverte(?: open licence)?(?: etalab)?", NAME),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", NOTICE),
     ("copyright", "copyright", "copyright", HINT),
     ("reserved", "all rights", "all rights reserved", NOTICE),
@@ -140,13 +140,13 @@ WRITTEN = (
     ("proprietary", "end user", "end user licen[cs]e agreement", NAME),
     ("proprietary", "eula", "eula", HINT),
     ("permission", "permission", "(?:used|reprinted|reproduced) (?:with|by) permission", NOTICE),
-    ("noncommercial", "commercial", "for non ?commercial (?:use|purposes)(?: only)?", NOTICE),
+    ("noncommercial", "for non", "for non ?commercial (?:use|purposes)(?: only)?", NOTICE),
     ("noncommercial", "commercial", "not for commercial use", NOTICE),
     ("terms", "terms of", "subject to (?:our |the )?terms of (?:use|service)", HINT),
-    ("license-text", "license", "terms and conditions for use reproduction and distribution", NOTICE),
+    ("license-text", "terms and conditions for", "terms and conditions for use reproduction and distribution", NOTICE),
     ("license-hint", "licensed", "(?:dual )?licensed under", HINT),
-    ("license-hint", "license", "see (?:the )?(?:file )?licen[cs]e(?: txt| md)?", HINT),
-    ("license-hint", "license", "licen[cs]e file in the (?:project )?root", HINT),
+    ("license-hint", "see licen|see the licen|see file licen|see the file licen", "see (?:the )?(?:file )?licen[cs]e(?: txt| md)?", HINT),
+    ("license-hint", "license file|licence file", "licen[cs]e file in the (?:project )?root", HINT),
 )
 
 # (label, keyword, name pattern, versions)

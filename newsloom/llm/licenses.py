@@ -51,12 +51,13 @@ def even(text: Column) -> Column:
 
 def _rows(listed: list[Rule]) -> Column:
     """The rules as an array of structs, read from one literal."""
-    lines = "\n".join("\t".join((r.label, f" {r.keyword.replace(' ', '  ')}", spaced(r.pattern), str(r.priority))) for r in listed)
+    words = lambda r: "|".join(f" {k.replace(' ', '  ')}" for k in r.keyword.split("|"))
+    lines = "\n".join("\t".join((r.label, words(r), spaced(r.pattern), str(r.priority))) for r in listed)
     fields = lambda line: F.split(line, "\t")
     return F.transform(
         F.split(F.lit(lines), "\n"),
         lambda line, i: F.struct(
-            fields(line)[0].alias("label"), fields(line)[1].alias("keyword"), fields(line)[2].alias("pattern"),
+            fields(line)[0].alias("label"), F.split(fields(line)[1], r"\|").alias("keywords"), fields(line)[2].alias("pattern"),
             fields(line)[3].cast("int").alias("priority"), i.alias("rank"),
         ),
     )
@@ -64,7 +65,7 @@ def _rows(listed: list[Rule]) -> Column:
 
 def detections(evened: Column, listed: list[Rule]) -> Column:
     """array<struct<start, end, rank, priority, label>> of all rules' matches."""
-    there = F.filter(_rows(listed), lambda r: F.contains(evened, r["keyword"]))
+    there = F.filter(_rows(listed), lambda r: F.exists(r["keywords"], lambda k: F.contains(evened, k)))
 
     def found(r: Column) -> Column:
         return F.transform(
@@ -129,7 +130,7 @@ def scan_licenses(docs: DataFrame, listed: list[Rule] | None = None) -> DataFram
     listed = rules() if listed is None else listed
     base = [Rule(label, phrase, phrase, NAME) for label, phrase in BASE.items()]
     text = F.coalesce(F.col("text"), F.lit(""))
-    gate = F.rlike(text, F.lit(keyword_pattern({r.keyword for r in [*base, *listed]})))
+    gate = F.rlike(text, F.lit(keyword_pattern({k for r in [*base, *listed] for k in r.keyword.split("|")})))
     counted = F.regexp_count(text, F.lit(WORD)).cast("long")
     rows = docs.select("doc_id", counted.alias("n_words"), F.when(gate, even(text)).alias("evened"))
     none = F.array().cast(DETECTION)

@@ -1,6 +1,7 @@
 import re
 import string
 from collections import Counter
+from re import _parser
 
 import pytest
 
@@ -78,3 +79,52 @@ def test_empty(spark, rows):
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan_licenses(frame(spark, odd_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEval" not in plan and "BatchEval" not in plan and "MapIn" not in plan
+
+
+def written_out(parsed):
+    """Texts that together take every alternative of a rule's pattern."""
+    texts = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                parts = [chr(arg)]
+            case "IN" if str(arg[0][0]) == "NEGATE":
+                parts = ["x"]
+            case "IN":
+                parts = [chr(c) for o, a in arg for c in ([a] if str(o) == "LITERAL" else a)]
+            case "NOT_LITERAL":
+                parts = ["x"]
+            case "BRANCH":
+                parts = [t for branch in arg[1] for t in written_out(branch)]
+            case "SUBPATTERN":
+                parts = written_out(arg[3])
+            case "MAX_REPEAT":
+                least, most, again = arg
+                parts = [t * n for n in sorted({least, min(most, least + 1)}) for t in written_out(again)]
+            case _:
+                raise ValueError(op)
+        texts = [a + b for a in texts for b in parts]
+    return texts
+
+
+def test_every_alternative_passes_its_keyword_and_the_gate():
+    gate = re.compile(licenses.keyword_pattern({k for r in rules() for k in r.keyword.split("|")}), re.ASCII)
+    for rule in rules():
+        for text in written_out(_parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text)
+            assert any(f" {k}" in f" {text}" for k in rule.keyword.split("|")), (rule, text)
+            assert gate.search(text)
+
+
+KEPT_APART = [
+    ("AS IS, without warranties", "as-is"), ("for noncommercial use", "noncommercial"), ("the FreeBSD License", "bsd-2-clause"),
+    ("Simplified License", "bsd-2-clause"), ("Berkeley Software Distribution", "bsd"), ("Open RAIL-M", "openrail"),
+    ("Licence Ouverte", "etalab"), ("see the LICENCE", "license-hint"), ("licence file in the root", "license-hint"),
+    ("Terms and conditions for use, reproduction, and distribution", "license-text"),
+]
+
+
+def test_no_alternative_is_kept_from_its_rule(spark):
+    rows = [(i, f"{prose(3, 9)} {text}. {prose(4, 9)}") for i, (text, _) in enumerate(KEPT_APART)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert [i for i, (_, label) in enumerate(KEPT_APART) if label not in got[i]] == []
