@@ -88,8 +88,11 @@ def positions(df: DataFrame, key: str, mix: str, name: str, rows_per_block: int
 
 
 def text_mark() -> Column:
-    """Tells apart rows that repeat a doc_id with another text."""
-    return F.hash("text").alias("mark")
+    """Tells apart rows that repeat a doc_id with another text: 16 bytes of the text's SHA-256.
+
+    Any number of rows may share an id, null above all, so a short hash would mix up their texts.
+    """
+    return F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("mark")
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, doubled: DataFrame) -> DataFrame:

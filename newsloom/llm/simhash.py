@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_batches(docs).select("doc_id", text_mark(), "text").mapInArrow(run, f"doc_id {kind}, mark int, fp bigint")
+    return in_batches(docs).select("doc_id", text_mark(), "text").mapInArrow(run, f"doc_id {kind}, mark binary, fp bigint")
 
 
 def layout(segments: int) -> list[tuple[int, int]]:

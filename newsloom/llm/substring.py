@@ -63,7 +63,7 @@ def blocks(docs: DataFrame, window: int, gram: int, whole: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["h", "s", "doc_id", "mark", "start", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"h bigint, s bigint, doc_id {kind}, mark int, start int, n int" if whole else "h bigint"
+    schema = f"h bigint, s bigint, doc_id {kind}, mark binary, start int, n int" if whole else "h bigint"
     return in_batches(docs).select("doc_id", text_mark(), "text").mapInArrow(run, schema)
 
 
