@@ -8,6 +8,7 @@ number among the pieces of their length.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,6 @@ from newsloom.session import materialize
 CAPACITY = 1024
 END_ID = 2
 MOST_NODES = 5_000
-CHOICES = 3
 
 
 @dataclass(frozen=True)
@@ -38,90 +38,158 @@ class Filling:
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Fewest sequences by waste: with lengths over ``capacity - k`` alone, what is at least
     ``k`` has to go beside the large ones or into sequences of its own; the best over all k."""
-    lengths = np.arange(len(counts))
-    half, best = capacity // 2, -(-int((counts * lengths).sum()) // capacity)
-    for k in range(half + 1):
-        alone = int(counts[capacity - k + 1 :].sum())
-        large = slice(half + 1, capacity - k + 1)
-        n_large, sum_large = int(counts[large].sum()), int((counts * lengths)[large].sum())
-        small = int((counts * lengths)[k : half + 1].sum())
-        best = max(best, alone + n_large + max(0, -(-(small - (n_large * capacity - sum_large)) // capacity)))
-    return best
-
-
-def completions(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, best first.
-
-    A filling is dominated by one whose pieces could each hold some of its own; so one piece
-    that fits exactly goes alone, then come exact pairs by their larger piece, then exact
-    triples. Without an exact one, the best fit by one piece after the other.
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    number = np.concatenate([[0], np.cumsum(counts)])  # of pieces shorter than the index
+    total = np.concatenate([[0], np.cumsum(counts * np.arange(len(counts)))])
+    n_over_half = number[-1] - number[half + 1]
+    room = (number[capacity - k + 1] - number[half + 1]) * capacity - (total[capacity - k + 1] - total[half + 1])
+    more = np.maximum(0, -(-(total[half + 1] - total[k] - room) // capacity))
+    return max(-(-int(total[-1]) // capacity), int((n_over_half + more).max()))
+
+
+def completions(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of ``room``, least waste first; None for each dead end on the way.
+
+    A filling is dominated if some of its pieces, or none, can give place to one longer piece
+    that is left over, or several to one of their length. Sets of lengths are bits of integers:
+    ``reach[k]`` has the sums of pieces of the k shortest lengths, so only sums that can be
+    made are tried, and the first filling is met without a dead end.
     """
-    there = np.flatnonzero(counts[: room + 1])
-    there = there[there > 0][::-1]
-    if not len(there):
-        return [()]
+    lengths = [int(n) for n in np.flatnonzero(counts[: room + 1]) if n]
+    if not lengths:
+        yield ()
+        return
     if counts[room]:
-        return [(room,)]
-    found = [(int(a), int(room - a)) for a in _larger_of_pairs(counts, there, room)[:CHOICES]]
-    if not found:
-        for a in there[:64]:
-            less = counts.copy()
-            less[a] -= 1
-            rest = there[(there <= a) & (less[there] > 0)]
-            pairs = _larger_of_pairs(less, rest, room - int(a))
-            found += [(int(a), int(b), int(room - a - b)) for b in pairs[:1]]
-            if len(found) == CHOICES:
-                break
-    greedy, left, less = [], room, counts.copy()
-    while len(fit := np.flatnonzero(less[1 : left + 1])):
-        take = int(fit[-1]) + 1
-        greedy.append(take)
-        less[take] -= 1
-        left -= take
-    return found + [tuple(greedy)] if not found or left else found
-
-
-def _larger_of_pairs(counts: np.ndarray, there: np.ndarray, room: int) -> np.ndarray:
-    there = there[(2 * there >= room) & (there < room)]
-    other = room - there
-    return there[(counts[other] > 0) & ((other != there) | (counts[there] > 1))]
+        yield (room,)
+        return
+    there, within = {n: int(counts[n]) for n in lengths}, (1 << (room + 1)) - 1
+    reach = [1]
+    for n in lengths:
+        sums, left, step = reach[-1], min(there[n], room // n), 1
+        while left:
+            step = min(step, left)
+            sums |= (sums << n * step) & within
+            left, step = left - step, 2 * step
+        reach.append(sums)
+    available = sum(1 << n for n in lengths)
+
+    def spread(sums: int, waste: int) -> int:
+        """The numbers that are 1 to ``waste`` over one of ``sums``."""
+        done, out = 1, sums << 1
+        while done < waste:
+            step = min(done, waste - done)
+            out, done = out | out << step, done + step
+        return out if waste else 0
+
+    for fill in range(room, -1, -1):
+        if not reach[-1] >> fill & 1:
+            continue
+        waste = room - fill
+        # (pieces so far, still to fill, lengths to choose from, sums of one piece, of more, lengths left over)
+        stack = [((), fill, len(lengths), 0, 0, available)]
+        while stack:
+            chosen, rest, top, one, more, over = stack.pop()
+            if not rest:
+                if spread(1, waste) & over:
+                    yield None
+                else:
+                    yield chosen
+                continue
+            tried = []
+            for k in range(top):
+                n = lengths[k]
+                used = chosen.count(n) if k == top - 1 else 0
+                if n > rest or used == there[n] or not _made(reach, lengths, there, k, rest - n, used + 1):
+                    continue
+                several = (one | more) << n
+                left_over = over & ~(1 << n) if used + 1 == there[n] else over
+                if several & left_over or spread(several | 1 << n, waste) & left_over:
+                    tried.append(None)
+                    continue
+                tried.append((chosen + (n,), rest - n, k + 1, one | 1 << n, more | several, left_over))
+            stack += [t for t in tried if t]
+            for _ in range(tried.count(None)):
+                yield None
+
+
+def _made(reach: list[int], lengths: list[int], there: dict[int, int], k: int, rest: int, used: int) -> bool:
+    """Whether ``rest`` is a sum of pieces up to the k-th length, of which ``used`` are taken."""
+    n = lengths[k]
+    return any(reach[k] >> (rest - n * c) & 1 for c in range(min(there[n] - used, rest // n) + 1))
 
 
 def pack_counts(counts: np.ndarray, capacity: int = CAPACITY, most_nodes: int = MOST_NODES) -> list[Filling]:
     """Fillings for all pieces, ``counts[n]`` of length n.
 
-    Depth first; the first descent, which takes the best fit everywhere, is the incumbent.
-    A branch is cut once the sequences used and the bound for what is left reach it. At the
-    bound for the whole, or after ``most_nodes`` nodes, the incumbent is the answer.
+    Depth first: the longest piece left gets each of its undominated fillings, best first,
+    used as often as the counts allow, then half as often, down to once. The first descent is
+    the incumbent. A branch is cut once the sequences used and the lower bound for what is
+    left reach it, or if the same pieces were left before after no more sequences. At the
+    bound for the whole, or after ``most_nodes`` nodes and dead ends, the incumbent is the answer.
     """
     counts = counts.astype(np.int64)
-    lengths = np.arange(len(counts))
     goal = lower_bound(counts, capacity)
-    best, best_bins, nodes = None, None, 0
-    stack = [(counts, None, 0)]
-    while stack:
-        left, path, bins = stack.pop()
-        nodes += 1
-        total = int((left * lengths).sum())
-        if best_bins is not None and (bins + -(-total // capacity) >= best_bins):
-            if nodes > most_nodes:
-                break
-            continue
-        if not total:
-            best, best_bins = path, bins
-            if bins <= goal:
-                break
-            continue
-        if best_bins is not None and nodes > most_nodes:
-            break
+    best, best_bins, nodes, seen = None, None, 0, {}
+
+    def branches(left: np.ndarray, skip: int) -> Iterator[tuple[Filling, np.ndarray] | None]:
         longest = int(np.flatnonzero(left)[-1])
         less = left.copy()
         less[longest] -= 1
-        for more in reversed(completions(less, capacity - longest)):
+        for more in completions(less, capacity - longest):
+            if more is None:
+                yield None
+                continue
             filling = (longest, *sorted(more, reverse=True))
             used = np.bincount(filling, minlength=len(counts))
             times = int((left[used > 0] // used[used > 0]).min())
-            stack.append((left - used * times, (Filling(filling, times), path), bins + times))
+            while times:
+                if skip:
+                    skip -= 1
+                else:
+                    yield Filling(filling, times), left - used * times
+                times //= 2
+
+    # a node's branches are made again when the search comes back to it, so that few are held at a time
+    stack = [[counts, None, 0, None]]
+    while stack:
+        node = stack[-1]
+        left, path, bins, made = node
+        if made is None:
+            nodes += 1
+            if not left[1:].any():
+                if best_bins is None or bins < best_bins:
+                    best, best_bins = path, bins
+                if best_bins <= goal:
+                    break
+                stack.pop()
+                continue
+            key = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+            if seen.get(key, bins + 1) <= bins or best_bins is not None and bins + lower_bound(left, capacity) >= best_bins:
+                stack.pop()
+                if best_bins is not None and nodes > most_nodes:
+                    break
+                continue
+            seen[key] = bins
+            if best_bins is not None and nodes > most_nodes:
+                break
+            filling, then = next(b for b in branches(left, 0) if b)
+            node[3] = ()
+            stack.append([then, (filling, path), bins + filling.times, None])
+            continue
+        if bins + lower_bound(left, capacity) >= best_bins:
+            stack.pop()
+            continue
+        if made == ():
+            made = node[3] = branches(left, 1)
+        branch = next(made, ())
+        if branch:
+            stack.append([branch[1], (branch[0], path), bins + branch[0].times, None])
+        elif branch is None:
+            nodes += 1
+            if nodes > most_nodes:
+                break
+        else:
+            stack.pop()
     out = []
     while best is not None:
         filling, best = best

@@ -104,3 +104,17 @@ def test_large_counts_take_few_fillings():
     fillings = packing.pack_counts(counts, most_nodes=200)
     assert len(fillings) < 6000
     assert sum(f.times for f in fillings) <= 1.01 * packing.lower_bound(counts, 1024)
+
+
+def bins_of(lengths, capacity):
+    return sum(f.times for f in packing.pack_counts(np.bincount(lengths, minlength=capacity + 1), capacity))
+
+
+def test_wasteful_fillings_are_tried():
+    assert bins_of([520] * 600 + [300] * 1800 + [250] * 1200, 1024) == 1200
+
+
+@pytest.mark.parametrize("seed", range(30, 60))
+def test_small_packings_are_the_fewest(seed):
+    lengths = np.random.default_rng(seed).integers(2, 14, 11).tolist()
+    assert bins_of(lengths, 20) == fewest(lengths, 20)
