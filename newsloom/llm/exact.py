@@ -107,7 +107,7 @@ def merged_groups(rows: DataFrame, docs: DataFrame, batches: int, keys_per_bucke
     known = by_batch.where("batch = 0").drop("batch")
     for batch in range(1, batches):
         new = by_batch.where(F.col("batch") == batch).drop("batch")
-        size = known.count()
+        size = max(known.count(), new.count())  # a task gets a bucket of each
         buckets = max(1, -(-size // keys_per_bucket))
         passed = screen(new, build_filters(known, buckets), buckets)
         passed = materialize(passed, "exact-passed")

@@ -68,3 +68,12 @@ def test_drop_duplicates(spark):
 def test_empty(spark):
     assert exact.exact_duplicates(frame(spark, [])).count() == 0
     assert exact.drop_duplicates(frame(spark, [])).count() == 0
+
+
+def test_a_large_batch_on_a_small_snapshot_is_dealt_over_buckets(spark, monkeypatch):
+    rows = [(-(10**9), "first")] + [(i, f"text {i % 50}") for i in range(60)] + [(99, "first")]
+    docs, used, screen = frame(spark, rows), [], exact.screen
+    monkeypatch.setattr(exact, "screen", lambda new, filters, n: used.append(n) or screen(new, filters, n))
+    made = exact.digests(docs, exact.halves(docs).alias("batch")).localCheckpoint()
+    groups = exact.merged_groups(made, docs, 2, keys_per_bucket=10).collect()
+    assert used == [6] and sorted(r["n"] for r in groups) == [1] * 40 + [2] * 11
