@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv factors.
+"""Substring deduplication by hashes of blocks and windows.
 
 Every text is cut into overlapping blocks at its minimizers: the windows of ``window`` words
 that share their least ``gram``-word hash form a block, and equal windows of any two texts lie
 in blocks of equal least hash. All blocks are indexed. A block that occurs elsewhere as a
-whole is a factor with one look-up; where blocks of one hash differ, at the ends of shared
-passages, their windows are compared one by one. A text's factors are then read off greedily
-from left to right, each as long as the next window too occurs elsewhere.
+whole is settled with one look-up; where blocks of one hash differ, at the ends of shared
+passages, their windows are compared one by one. A text's factors are the runs of windows that
+occur elsewhere, in one text or several; this replaces a relative Lempel-Ziv parse.
 """
 
 from __future__ import annotations
