@@ -87,13 +87,94 @@ def page_text(spark, folder):
     select bucket, page, pos, case when paywall then excerpt else coalesce(nullif(page_text, ''), excerpt) end as content from items""",
 )
 def attach_page_text(spark, folder):
-    items = discovered(spark, folder).select(
+    items = _fetched_items(spark, folder)
+    pages = table(spark, folder, "pages")
+    return ops.attach_page_text(items, pages, html.page_text(F.col("html"))).select("bucket", "page", "pos", "content")
+
+
+def _fetched_items(spark, folder):
+    return discovered(spark, folder).select(
         "bucket", "page", "pos", urls.normalize_url(F.col("url")).alias("url_norm"),
         F.concat(F.lit("excerpt of "), F.col("pos").cast("string")).alias("excerpt"),
         (F.col("pos") % 4 == 1).alias("paywall"),
     )
+
+
+def _sql_marked(column: str) -> str:
+    text = f"coalesce({column}, '')"
+    for pattern, mark in html.MARKINGS:
+        mark = " || ".join(f"chr({ord(c)})" for c in mark)
+        text = f"regexp_replace({text}, '{pattern}', {mark}, 'g')"
+    for entity, char in html.ENTITIES:
+        text = f"replace({text}, '{entity}', '{char}')"
+    return text
+
+
+def _sql_plain(text: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({text}, '{html.MARKS_PATTERN}', ' ', 'g'), '{WHITESPACE}', ' ', 'g'))"
+
+
+def _sql_words(text: str) -> str:
+    return f"case when {text} = '' then 0 else length({text}) - length(replace({text}, ' ', '')) + 1 end"
+
+
+MAIN_SQL = f"""marked as (select page_id, url, {_sql_marked('html')} as m from pages),
+inside as (select *, regexp_extract(m, '{html.CONTAINER_PATTERN}', 1) as part from marked),
+pieces as (
+  select page_id, url, unnest(p) as piece, generate_subscripts(p, 1) as nth from (
+    select page_id, url, string_split(case when length(part) >= {html.CONTAINER_CHARS} then part else m end, chr(3)) as p from inside)
+),
+plain as (
+  select *, {_sql_plain('piece')} as text,
+         {_sql_plain(f"array_to_string(regexp_extract_all(piece, '{html.LINKED_PATTERN}'), ' ')")} as linked from pieces
+),
+counted as (
+  select page_id, url, row_number() over (partition by page_id order by nth) as block, text,
+         {_sql_words('text')} as words, {_sql_words('linked')} as links from plain where text <> ''
+),
+around as (
+  select *, coalesce(lead(words) over w, 0) as next_words, coalesce(lag(words) over w, 0) as last_words,
+         coalesce(9 * lag(links) over w > 5 * lag(words) over w, false) as after_menu
+  from counted window w as (partition by page_id order by block)
+),
+judged as (
+  select *, 3 * links <= words and case when after_menu then words > 40 or next_words > 17
+    else words > 16 or next_words > 15 or last_words > 4 end as main from around
+),
+main_texts as (
+  select p.page_id, p.url, coalesce(string_agg(j.text, ' ' order by j.block) filter (j.main), '') as main_text
+  from pages p left join judged j on p.page_id = j.page_id group by p.page_id, p.url
+)"""
+
+
+@query("main_text", f"with {MAIN_SQL} select page_id, main_text as content from main_texts")
+def main_text(spark, folder):
+    return table(spark, folder, "pages").select("page_id", html.main_text(F.col("html")).alias("content"))
+
+
+@query(
+    "text_blocks",
+    f"""with {MAIN_SQL} select page_id, cast(block as integer) as block, sha1(text) as text_sha1,
+    cast(words as integer) as words, cast(links as integer) as links, main from judged""",
+)
+def text_blocks(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", F.posexplode(html.main_blocks(F.col("html"))).alias("at", "b"))
+    return pages.select(
+        "page_id", (F.col("at") + 1).alias("block"), F.sha1("b.text").alias("text_sha1"), "b.words", "b.links", "b.main"
+    )
+
+
+@query(
+    "attach_main_text",
+    f"""with {DISCOVERED_SQL}, {MAIN_SQL},
+    items as (select d.*, 'excerpt of ' || pos as excerpt, pos % 4 = 1 as paywall, t.main_text
+              from discovered d join main_texts t on t.url = d.page_url)
+    select bucket, page, pos, case when paywall then excerpt else coalesce(nullif(main_text, ''), excerpt) end as content from items""",
+)
+def attach_main_text(spark, folder):
+    items = _fetched_items(spark, folder)
     pages = table(spark, folder, "pages")
-    return ops.attach_page_text(items, pages, html.page_text(F.col("html"))).select("bucket", "page", "pos", "content")
+    return ops.attach_page_text(items, pages, html.main_text(F.col("html"))).select("bucket", "page", "pos", "content")
 
 
 _KEYS = [t[0] for t in TOPICS]

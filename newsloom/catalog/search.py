@@ -11,8 +11,9 @@ from newsloom.functions.text import embedding_text
 from newsloom.operators import search as ops
 from newsloom.operators.encoder import encode_hashed, encode_query, encode_with_model
 from newsloom.operators.similarity import cosine_topk, cosine_topk_batch, with_similarity
+from newsloom.operators.trigrams import TrigramIndex
 from newsloom.plans.embed import embed_incremental
-from newsloom.session import materialize
+from newsloom.session import materialize, work_path
 
 _SNIPPET = "case when length(content) > 500 then substr(content, 1, 500) || '...' else content end as content"
 _ARTICLE = (
@@ -56,6 +57,39 @@ def keyword_search(spark, folder):
     return hits.withColumn("published_date", time_text("published_date"))
 
 
+def trigram_index(spark, folder):
+    """The corpus' trigram index, built once per application and input folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        path = work_path(spark, "trigrams")
+        TrigramIndex.build(corpus(spark, folder), path, rows_per_block=500)
+        _INDEXES[key] = path
+    return TrigramIndex(spark, _INDEXES[key])
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+@query(
+    "keyword_search_indexed",
+    f"""with {CORPUS_SQL} select {_ARTICLE.format(content=_SNIPPET)} from corpus
+    where (lower(title) like '%ation t%' or lower(content) like '%ation t%') and bucket = 'en'
+    order by date desc nulls last, url limit 50""",
+)
+def keyword_search_indexed(spark, folder):
+    hits = trigram_index(spark, folder).search("Ation T", limit=50, bucket="en")
+    return hits.withColumn("published_date", time_text("published_date"))
+
+
+@query(
+    "keyword_match_indexed",
+    f"""with {CORPUS_SQL} select url, content_id from corpus
+    where lower(title) like '%der%und_die%' or lower(content) like '%der%und_die%'""",
+)
+def keyword_match_indexed(spark, folder):
+    return trigram_index(spark, folder).match("der%und_die").select("url", "content_id")
+
+
 @query(
     "cosine_topk",
     f"""with {VECTORS_SQL}, hits as (select *, {SIMILARITY_SQL} as s from vectors)

@@ -93,11 +93,14 @@ def wanted_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
 def attach_page_text(items: DataFrame, pages: DataFrame, text: Column) -> DataFrame:
     """Items with the text chosen from their stored page, excerpt and paywall flag.
 
-    ``text`` is the extraction expression over the page's ``html``.
+    ``text`` is the extraction expression over the page's ``html``. It is computed where the
+    page is found, so that texts, not pages, move to the items.
     """
-    joined = items.join(wanted_pages(items, pages), "url_norm", "left")
-    chosen = choose_content(F.col("paywall"), text, F.col("excerpt"))
-    return joined.withColumn("content", chosen).drop("html")
+    open_items = items.where(~F.coalesce(F.col("paywall"), F.lit(False)))
+    texts = wanted_pages(open_items, pages).select("url_norm", text.alias("_page_text"))
+    joined = items.join(texts, "url_norm", "left")
+    chosen = choose_content(F.col("paywall"), F.col("_page_text"), F.col("excerpt"))
+    return joined.withColumn("content", chosen).drop("_page_text")
 
 
 def attach_config(items: DataFrame, topics=TOPICS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +22,25 @@ def stamp(articles: DataFrame, at: Column | None = None) -> DataFrame:
     return articles.withColumn("crawl_ts", F.current_timestamp() if at is None else at)
 
 
-def with_page_text(admitted: DataFrame, pages: DataFrame) -> DataFrame:
-    """Admitted items labelled and with the text of their page."""
+Extract = Callable[[Column], Column]
+
+
+def with_page_text(admitted: DataFrame, pages: DataFrame, extract: Extract = html.page_text) -> DataFrame:
+    """Admitted items labelled and with the text of their page: all of it, or ``html.main_text``."""
     labelled = attribute_topic(classify(admitted)).withColumn("url_norm", urls.normalize_url(F.col("url")))
-    return attach_page_text(labelled, pages, html.page_text(F.col("html")))
+    return attach_page_text(labelled, pages, extract(F.col("html")))
 
 
-def to_articles(admitted: DataFrame, pages: DataFrame, at: Column | None = None) -> DataFrame:
+def to_articles(
+    admitted: DataFrame, pages: DataFrame, at: Column | None = None, extract: Extract = html.page_text
+) -> DataFrame:
     """Admitted items to checked articles: text, content id, publisher domain, contract."""
-    return finish_articles(with_page_text(admitted, pages), at)
+    return finish_articles(with_page_text(admitted, pages, extract), at)
 
 
-def to_rejects(admitted: DataFrame, pages: DataFrame) -> DataFrame:
+def to_rejects(admitted: DataFrame, pages: DataFrame, extract: Extract = html.page_text) -> DataFrame:
     """The admitted items that ``to_articles`` leaves out, with what they would have been."""
-    return rejected_articles(shaped_articles(with_page_text(admitted, pages)))
+    return rejected_articles(shaped_articles(with_page_text(admitted, pages, extract)))
 
 
 def finish_articles(fetched: DataFrame, at: Column | None = None) -> DataFrame:

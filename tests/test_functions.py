@@ -187,3 +187,55 @@ def test_page_text(spark):
         "<script>x<y</script ><aside class='a'>no</aside><p>three\nfour</p><footer>f</footer></body></html>"
     )
     assert apply(spark, [page, "", None], html.page_text) == ["One <two> three four", "", ""]
+
+
+PROSE = "The council met on Monday evening and after three hours of debate agreed to repair the old bridge before winter comes."
+
+
+def test_main_text_leaves_menus_and_footers(spark):
+    """Menu, advert and footer outside the elements that are always dropped go; the article with its title stays."""
+    menu = "<div class='menu'>" + "".join(f"<a href='/{i}'>Section {i}</a> " for i in range(9)) + "</div>"
+    page = (
+        f"<html><head><title>T</title></head><body><div>Advert: buy now</div>{menu}<div><h1>Bridge to be repaired</h1>"
+        f"<p>{PROSE}</p><p>{PROSE} See <a href='x'>the minutes</a>.</p><p>It will cost two million.</p></div>"
+        "<ul><li><a>Next</a></li><li><a>Previous</a></li></ul><div>Copyright</div><div>2024</div></body></html>"
+    )
+    want = f"Bridge to be repaired {PROSE} {PROSE} See the minutes . It will cost two million."
+    assert apply(spark, [page], html.main_text) == [want]
+
+
+def test_main_text_prefers_the_marked_part(spark):
+    aside = "".join(f"<div>{PROSE} {i}</div>" for i in range(3))
+    long = f"<body>{aside}<MAIN id=a><p>{PROSE}<p>{PROSE} again</main>{aside}</body>"
+    stub = f"<body><article>Short</article>{aside}</body>"
+    unclosed = f"<body><article><p>{PROSE}"
+    assert apply(spark, [long, unclosed], html.main_text) == [f"{PROSE} {PROSE} again", PROSE]
+    assert apply(spark, [stub], html.main_text)[0].count(PROSE) == 3
+
+
+def test_main_text_of_odd_pages(spark):
+    pages = [None, "", "plain words only", "<p>\x01\x02\x03\x04\x05</p>", "<a>" + "word " * 50 + "</a>", "<p>" + "long " * 60_000]
+    assert apply(spark, pages, html.main_text) == ["", "", "", "", "", ("long " * 60_000).strip()]
+
+
+def rule_is_main(blocks, i):
+    before = blocks[i - 1] if i else (0, 0)
+    after = blocks[i + 1] if i + 1 < len(blocks) else (0, 0)
+    words, links = blocks[i]
+    if links / words > 1 / 3:
+        return False
+    if before[0] and before[1] / before[0] > 5 / 9:
+        return words > 40 or after[0] > 17
+    return words > 16 or after[0] > 15 or before[0] > 4
+
+
+def test_blocks_are_judged_by_the_tree(spark):
+    rng = random.Random(4)
+    pages, want = [], []
+    for _ in range(40):
+        blocks = [(n := rng.choice([1, 4, 5, 15, 16, 17, 18, 40, 41]), rng.choice([0, 0, n // 3, n // 2, n])) for _ in range(rng.randint(1, 8))]
+        texts = ["<div>" + (f"<a>{'in ' * k}</a>" if k else "") + "out " * (n - k) + "</div>" for n, k in blocks]
+        pages.append("".join(texts))
+        want.append([(*b, rule_is_main(blocks, i)) for i, b in enumerate(blocks)])
+    got = apply(spark, pages, lambda c: F.transform(html.main_blocks(c), lambda b: F.struct(b["words"], b["links"], b["main"])))
+    assert [[tuple(b) for b in row] for row in got] == want
