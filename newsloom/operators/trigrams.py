@@ -13,6 +13,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from newsloom.functions.binding import let
 from newsloom.operators.filters import keyword_match, where_corpus
@@ -49,7 +50,7 @@ class TrigramIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         columns = spark.read.parquet(f"{path}/columns").schema  # a corpus without rows has no files to tell them
-        self.rows = spark.read.schema(columns.add("row", "int").add("block", "int")).parquet(f"{path}/rows")
+        self.rows = spark.read.schema(columns.add("row", IntegerType()).add("block", IntegerType())).parquet(f"{path}/rows")
         self.lists = spark.read.parquet(f"{path}/lists")
 
     @classmethod
