@@ -9,6 +9,8 @@ from newsloom.catalog.admission import ADMITTED_SQL, DECIDED_SQL, decided, admit
 from newsloom.catalog.fixtures import CORPUS_SQL, VECTORS_SQL, corpus, seen, sql_time, time_text, vectors
 from newsloom.functions.urls import normalize_url
 from newsloom.operators import aggregates as ops
+from newsloom.session import work_path
+from newsloom.sources.tables import CorpusTable
 
 
 @query("total_articles", f"with {CORPUS_SQL} select count(*) as total from corpus")
@@ -68,11 +70,9 @@ def unique_publishers(spark, folder):
     return ops.unique_publishers(corpus(spark, folder))
 
 
-@query(
-    "corpus_stats",
-    f"""with {CORPUS_SQL},
-    p as (select publisher_name as key, count(*) as n from corpus where publisher_name is not null group by 1),
-    d as (select cast(cast(date as date) as varchar) as key, count(*) as n from corpus where date is not null group by 1)
+CORPUS_STATS_SQL = f"""with {CORPUS_SQL},
+p as (select publisher_name as key, count(*) as n from corpus where publisher_name is not null group by 1),
+d as (select cast(cast(date as date) as varchar) as key, count(*) as n from corpus where date is not null group by 1)
     select 'publisher' as section, key, n as value from (select * from p order by n desc, key limit 5)
     union all select 'day', key, n from (select * from d order by key desc limit 14)
     union all select 'bucket', bucket, count(*) from corpus where bucket is not null group by bucket
@@ -80,12 +80,30 @@ def unique_publishers(spark, folder):
     union all select 'total', 'articles', count(*) from corpus
     union all select 'total', 'unique_publishers', count(*) from p
     union all select 'date_range', 'earliest_micros', epoch_us(min(date)) from corpus
-    union all select 'date_range', 'latest_micros', epoch_us(max(date)) from corpus""",
-)
+    union all select 'date_range', 'latest_micros', epoch_us(max(date)) from corpus"""
+
+
+@query("corpus_stats", CORPUS_STATS_SQL)
 def corpus_stats(spark, folder):
     return ops.corpus_stats(corpus(spark, folder))
 
 
+# Three commits that end in the corpus: a third of the rows with other facts, then two thirds, then all.
+@query("kept_stats", CORPUS_STATS_SQL)
+def kept_stats(spark, folder):
+    table = CorpusTable(spark, work_path(spark, "stats-table"), buckets=8, stats=True)
+    rows = corpus(spark, folder)
+    other = (
+        rows.withColumn("publisher_name", F.concat(F.lit("was "), "publisher_name"))
+        .withColumn("date", F.when(F.col("seq") % 2 == 0, F.col("date") + F.expr("interval 40 days")))
+        .withColumn("bucket", F.lit("all"))
+    )
+    table.upsert(other.where("seq % 3 = 0"))
+    table.upsert(rows.where("seq % 3 <> 1"))
+    table.upsert(rows)
+    return table.read_stats()
+
+
 @query(
     "embedding_stats",
     f"""with {VECTORS_SQL}

@@ -65,13 +65,11 @@ def unique_publishers(corpus: DataFrame, approximate: bool = False, k: int = TOP
     return exact.withColumn("top_publisher_count", F.least("unique_publishers", F.lit(k).cast("bigint")))
 
 
-def corpus_stats(
-    corpus: DataFrame, top: int = TOP_PUBLISHERS, days: int = TIMELINE_DAYS
-) -> DataFrame:
-    """All statistics as (section, key, value) from a single scan.
+def key_counts(corpus: DataFrame) -> DataFrame:
+    """(section, key, value, lo, hi): rows and ends of the dates per publisher, bucket, signal type, day, and in all.
 
     Grouping sets give each row one key per section; the counts are combined map-side, so
-    what is shuffled is the number of distinct keys, whatever the skew.
+    what is shuffled is the number of distinct keys, whatever the skew. The total's key is null.
     """
     facts = corpus.select(
         "publisher_name", "bucket", "signal_type", F.to_date("date").alias("pub_day"), "date"
@@ -101,13 +99,23 @@ def corpus_stats(
         .when(F.col("gid") == 0b1110, "day")
         .otherwise("total")
     )
-    keyed = grouped.select(
+    return grouped.select(
         section.alias("section"),
         F.coalesce("publisher_name", "bucket", "signal_type", F.col("pub_day").cast("string")).alias("key"),
         F.col("n").alias("value"), "lo", "hi",
     ).where((F.col("section") == "total") | F.col("key").isNotNull())
-    # One row per distinct key: written once so that the parts below share the corpus scan.
-    keyed = materialize(keyed, "corpus-stats")
+
+
+def corpus_stats(
+    corpus: DataFrame, top: int = TOP_PUBLISHERS, days: int = TIMELINE_DAYS
+) -> DataFrame:
+    """All statistics as (section, key, value) from a single scan."""
+    # One row per distinct key: written once so that the parts share the corpus scan.
+    return stats_of(materialize(key_counts(corpus), "corpus-stats"), top, days)
+
+
+def stats_of(keyed: DataFrame, top: int = TOP_PUBLISHERS, days: int = TIMELINE_DAYS) -> DataFrame:
+    """All statistics as (section, key, value) from stored ``key_counts``."""
     entry = ["section", "key", "value"]
 
     def part(name: str) -> DataFrame:

@@ -5,7 +5,9 @@ pick files by partition values from the log, so an unfinished or failed commit i
 seen and a repeated one is skipped.
 
 Corpus rows live under ``commit=<n>/ub=<k>`` where ``ub`` is a hash of the URL. New URLs
-are appended; only the ``ub`` partitions holding a changed URL are written again.
+are appended; only the ``ub`` partitions holding a changed URL are written again. With
+``stats`` every commit also keeps what it changes in the table's statistics, under
+``stats/commit=<n>``, which ``read_stats`` adds up without a look at the rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators import kept_stats
+from newsloom.operators.aggregates import stats_of
 from newsloom.operators.upsert import corpus_changes
 from newsloom.schemas import CORPUS
 from newsloom.session import materialize
@@ -60,8 +64,8 @@ def _state(spark: SparkSession, root: str) -> LogState:
 
 
 class CorpusTable:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, stats: bool = False):
+        self.spark, self.root, self.buckets, self.stats = spark, root.rstrip("/"), buckets, stats
 
     def _bucket(self):
         return F.pmod(F.xxhash64("url"), F.lit(self.buckets)).cast("int")
@@ -80,6 +84,36 @@ class CorpusTable:
     def read(self) -> DataFrame:
         return self._live(_state(self.spark, self.root)).drop("ub")
 
+    def _states(self, latest: int) -> DataFrame | None:
+        """The statistics' states of the visible commits, from the last whole one on."""
+        try:
+            stored = self.spark.read.schema(f"{kept_stats.STATE}, commit bigint").parquet(f"{self.root}/stats")
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        stored = stored.where(F.col("commit") <= latest)
+        base = stored.where(F.col("section") == kept_stats.BASE).agg(F.max("commit")).first()[0]
+        return None if base is None else stored.where(F.col("commit") >= base)
+
+    def read_stats(self) -> DataFrame:
+        """``corpus_stats`` of the table, from the states that its commits kept."""
+        states = self._states(_state(self.spark, self.root).latest)
+        if states is None:
+            raise RuntimeError("no commit kept statistics")
+        return stats_of(materialize(kept_stats.kept_counts(states), "kept-stats"))
+
+    def _write_stats(self, state: LogState, live: DataFrame, changes: DataFrame, rewritten: list[int], commit: int) -> None:
+        after = live.join(changes.select("url"), "url", "left_anti").select(*kept_stats.FACTS)
+        after = after.unionByName(changes.select(*kept_stats.FACTS))
+        states = self._states(state.latest)
+        if states is None:  # the first commit, or the first with statistics
+            record = kept_stats.base_state(after)
+        else:
+            removed = live.where(F.col("ub").isin(rewritten)).join(changes.where("is_update").select("url"), "url", "left_semi")
+            record = kept_stats.commit_state(changes, removed, after, kept_stats.merged(states))
+        record.write.mode("overwrite").parquet(f"{self.root}/stats/commit={commit}")
+
     def upsert(
         self, batch: DataFrame, tag: str | None = None, batch_ts=None, jsonl_path: str | None = None
     ) -> int:
@@ -104,6 +138,8 @@ class CorpusTable:
         # A plain hash shuffle on the partition column, salted so that a bucket may use several tasks.
         spread = new.repartition("ub", F.pmod(F.xxhash64("content_id"), F.lit(4)))
         spread.sortWithinPartitions("ub", "date").write.mode("overwrite").partitionBy("ub").parquet(f"{self.root}/rows/commit={commit}")
+        if self.stats:
+            self._write_stats(state, live, changes, rewritten, commit)
         if jsonl_path is not None:
             write_jsonl(changes.drop("is_update", "ub", "url_norm"), f"{jsonl_path}/commit={commit}", "overwrite")
         _append_log(self.spark, self.root, commit, rewritten, tag)
@@ -117,6 +153,8 @@ class CorpusTable:
         live.sortWithinPartitions("ub", "date").write.mode("overwrite").partitionBy("ub").parquet(
             f"{self.root}/rows/commit={commit}"
         )
+        if self.stats:
+            kept_stats.base_state(self._live(state)).write.mode("overwrite").parquet(f"{self.root}/stats/commit={commit}")
         _append_log(self.spark, self.root, commit, list(range(self.buckets)), None)
         return commit
 

@@ -1,5 +1,9 @@
 """Every named query against its SQL on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -40,3 +44,15 @@ def test_entry(spark):
         "url", "title", "content", "publisher_name", "published_date", "content_id", "similarity", "bucket",
         "signal_type", "source_type",
     ]
+
+
+def test_queries_without_the_optional_part(monkeypatch):
+    """Whatever cannot be imported there, the library's own queries remain."""
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(QUERIES)
+
+
+def test_queries_without_a_package_of_the_optional_part():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__))
+    assert out.stdout.strip() == str(len(QUERIES)), out.stderr

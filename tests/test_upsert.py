@@ -1,10 +1,13 @@
 """The two-key upsert against a row-by-row replay."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.operators import kept_stats
+from newsloom.operators.aggregates import corpus_stats
 from newsloom.operators.upsert import upsert_corpus, upsert_vectors, winning_rows
 from newsloom.schemas import CORPUS
 from newsloom.sources.tables import CorpusTable
@@ -98,3 +101,55 @@ def test_vectors_keep_identity(spark):
     )
     rows = {r["content_id"]: (r["url"], r["title"], r["embedding"]) for r in upsert_vectors(old, batch).collect()}
     assert rows == {"a": ("ua", "ta", [2.0]), "b": ("ub", "tb", [4.0])}
+
+
+def stats_rows(df):
+    return sorted((r["section"], r["key"], r["value"]) for r in df.collect())
+
+
+def facts_batch(spark, rng, n, urls, contents):
+    rows = [
+        (
+            i, f"u{rng.randrange(urls)}", f"c{rng.randrange(contents)}", "t", rng.choice(["p1", "p2", "", None]), rng.choice(["en", "fr", None]),
+            rng.choice(["trends", None]), None if rng.random() < 0.2 else f"2026-01-{rng.randint(1, 6):02d} {rng.randint(0, 23):02d}:00:00",
+        )
+        for i in range(n)
+    ]
+    schema = "seq bigint, url string, content_id string, title string, publisher_name string, bucket string, signal_type string, date string"
+    return _with_payload(spark.createDataFrame(rows, schema).withColumn("date", F.col("date").cast("timestamp")))
+
+
+@pytest.mark.parametrize("seed", [2, 5])
+def test_kept_stats_equal_a_scan(spark, tmp_path, seed):
+    """After every commit, replaced first and last rows of days included, and after compaction."""
+    rng = random.Random(seed)
+    store = CorpusTable(spark, str(tmp_path / "t"), buckets=4, stats=True)
+    for round_ in range(4):
+        store.upsert(facts_batch(spark, rng, 40, 25, 60), batch_ts=F.lit(NEW).cast("timestamp"))
+        assert stats_rows(store.read_stats()) == stats_rows(corpus_stats(store.read()))
+        if round_ == 2:
+            store.compact()
+            assert stats_rows(store.read_stats()) == stats_rows(corpus_stats(store.read()))
+
+
+def test_kept_stats_read_states_only(spark, tmp_path):
+    store = CorpusTable(spark, str(tmp_path / "t"), buckets=4, stats=True)
+    with pytest.raises(RuntimeError):
+        store.read_stats()
+    rng = random.Random(1)
+    for _ in range(3):
+        store.upsert(facts_batch(spark, rng, 30, 20, 50))
+    want = stats_rows(corpus_stats(store.read()))
+    shutil.rmtree(tmp_path / "t" / "rows")
+    assert stats_rows(store.read_stats()) == want
+
+
+def test_stats_of_a_table_that_had_none(spark, tmp_path):
+    rng = random.Random(4)
+    CorpusTable(spark, str(tmp_path / "t"), buckets=4).upsert(facts_batch(spark, rng, 30, 20, 50))
+    store = CorpusTable(spark, str(tmp_path / "t"), buckets=4, stats=True)
+    store.upsert(facts_batch(spark, rng, 30, 20, 50))
+    assert stats_rows(store.read_stats()) == stats_rows(corpus_stats(store.read()))
+    stray = spark.createDataFrame([("total", "", 9, None, None, False)], kept_stats.STATE)
+    stray.write.parquet(str(tmp_path / "t" / "stats" / "commit=9"))  # of a commit that failed
+    assert stats_rows(store.read_stats()) == stats_rows(corpus_stats(store.read()))
