@@ -11,6 +11,8 @@ from newsloom.functions.urls import normalize_url
 from newsloom.operators import aggregates as ops
 from newsloom.session import work_path
 from newsloom.sources.tables import CorpusTable
+from newsloom.streaming.rates import read_rates, write_rates
+from newsloom.streaming.rates import stream_dup_rate as ops_rates
 
 
 @query("total_articles", f"with {CORPUS_SQL} select count(*) as total from corpus")
@@ -135,19 +137,30 @@ def page_dup_rate(spark, folder):
     return rates.withColumn("dup_rate", F.round("dup_rate", 6))
 
 
-@query(
-    "rolling_dup_rate",
-    f"""with {_RATES_SQL},
-    w as (select *, avg(dup_rate) over last4 as m, count(*) over last4 as window_size from rates
-          window last4 as (partition by bucket order by page rows between 3 preceding and current row))
-    select bucket, page, round(dup_rate, 6) as dup_rate, round(m, 6) as mean_dup_rate, window_size,
-           window_size = 4 and m > 0.6 as flagged from w""",
-)
+ROLLING_SQL = f"""with {_RATES_SQL},
+w as (select *, avg(dup_rate) over last4 as m, count(*) over last4 as window_size from rates
+      window last4 as (partition by bucket order by page rows between 3 preceding and current row))
+select bucket, page, round(dup_rate, 6) as dup_rate, round(m, 6) as mean_dup_rate, window_size,
+       window_size = 4 and m > 0.6 as flagged from w"""
+
+
+@query("rolling_dup_rate", ROLLING_SQL)
 def rolling_dup_rate(spark, folder):
     rates = ops.rolling_dup_rate(ops.page_dup_rate(decided(spark, folder)))
     return rates.withColumn("dup_rate", F.round("dup_rate", 6)).withColumn("mean_dup_rate", F.round("mean_dup_rate", 6))
 
 
+@query("stream_dup_rate", ROLLING_SQL)
+def stream_dup_rate(spark, folder):
+    landing, out = work_path(spark, "decided"), work_path(spark, "rates")
+    items = decided(spark, folder).select("bucket", F.col("page").cast("bigint").alias("page"), "accepted")
+    items.repartitionByRange(6, "page").write.parquet(landing)
+    source = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    write_rates(ops_rates(source), out, work_path(spark, "rates-checkpoint")).awaitTermination()
+    rates = read_rates(spark, out)
+    return rates.withColumn("dup_rate", F.round("dup_rate", 6)).withColumn("mean_dup_rate", F.round("mean_dup_rate", 6))
+
+
 @query(
     "discovery_summary",
     f"""with {ADMITTED_SQL}
