@@ -10,6 +10,9 @@ from newsloom.operators import admission as ops
 from newsloom.operators.adaptive import Limits, admit_adaptive
 from newsloom.operators.filters import admissible_url
 from newsloom.operators.joins import anti_join_seen
+from newsloom.operators.seen_urls import SeenUrls
+from newsloom.session import work_path
+from newsloom.streaming.ingest import known_urls
 
 QUOTA, CAP = 100, 10
 _ORDER = "page, bucket_pos, pos"
@@ -56,6 +59,16 @@ def anti_join(spark, folder):
     return anti_join_seen(firsts, seen(spark, folder)).select("bucket", "page", "pos", "url_norm")
 
 
+# The known URLs in two commits of a filtered table.
+@query("anti_join_seen_filtered", f"with {ADMITTED_SQL} select {_KEY}, url_norm from fresh")
+def anti_join_filtered(spark, folder):
+    known = known_urls(seen(spark, folder))
+    table = SeenUrls(spark, work_path(spark, "seen-urls"), ranges=16, bits=1 << 16)
+    for commit in (0, 1):
+        table.add(known.where(F.pmod(F.xxhash64("url_norm"), F.lit(2)) == commit), commit)
+    return table.unseen(ops.first_seen_dedup(_keys(spark, folder))).select("bucket", "page", "pos", "url_norm")
+
+
 @query("domain_cap", f"with {ADMITTED_SQL} select {_KEY}, domain from capped")
 def domain_cap(spark, folder):
     fresh = anti_join_seen(ops.first_seen_dedup(_keys(spark, folder)), seen(spark, folder))

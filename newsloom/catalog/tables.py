@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +28,14 @@ from newsloom.catalog.joins import sql_page_text
 from newsloom.functions.text import content_id
 from newsloom.operators.admission import admit_static, visit_order
 from newsloom.operators.upsert import upsert_corpus, upsert_vectors
-from newsloom.plans.ingest import to_articles, to_corpus_batch, to_rejects
+from newsloom.operators.filters import rejected_articles, valid_articles
+from newsloom.plans.ingest import shaped_articles, to_articles, to_corpus_batch, with_page_text
 from newsloom.schemas import CORPUS, DISCOVERED, VECTORS
 from newsloom.session import materialize, work_path
 from newsloom.sources import files
 from newsloom.sources.tables import CorpusTable, publish_snapshot, read_snapshot
 from newsloom.sources.union import align_schema
-from newsloom.streaming.ingest import dedup_against_corpus, dedup_stream, file_stream, ingest_stream
+from newsloom.streaming.ingest import dedup_against_corpus, dedup_stream, file_stream, ingest_stream, known_urls
 
 ITEMS = T.StructType(list(DISCOVERED.fields)).add("bucket", T.StringType()).add("seq", T.LongType())
 STAMP = "2026-01-02 00:00:00"
@@ -224,6 +226,22 @@ def stream_dedup(spark, folder):
     return spark.read.parquet(out).select("url_norm")
 
 
+# Every URL comes twice, a page apart: within the delay, so the second never passes; the state of earlier pages is let go.
+@query("stream_dedup_watermark", f"with {DISCOVERED_SQL} select distinct url_norm from hosts")
+def stream_dedup_watermark(spark, folder):
+    landing, out = work_path(spark, "timed-items"), work_path(spark, "timed-deduped")
+    at = (F.lit(0) + F.col("page") * 3600).cast("timestamp")
+    items = materialize(discovered(spark, folder).select("url", "page", at.alias("at"), F.col("page").alias("seq")), "timed")
+    _land_in_order(items, landing)
+    deduped = dedup_stream(file_stream(spark, landing, items.schema, files_per_batch=1), ("at", "3 hours"))
+    run = (
+        deduped.writeStream.format("parquet").option("checkpointLocation", work_path(spark, "timed-checkpoint"))
+        .option("path", out).trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(out).select("url_norm")
+
+
 @query(
     "dedup_against_corpus",
     f"""with {DISCOVERED_SQL}, known as (select distinct url_norm from hosts where page_url in (select url from seen)),
@@ -290,20 +308,47 @@ def ingest_pages(spark, folder):
 def ingest_page_stream(spark, folder):
     landing, rejected = work_path(spark, "found-items"), work_path(spark, "rejects")
     order = F.col("page") * (1 << 40) + F.col("bucket_pos") * (1 << 36) + F.col("pos")
-    found = discovered(spark, folder).withColumn("seq", order.cast("bigint"))
-    found.coalesce(1).write.parquet(landing)
+    found = materialize(discovered(spark, folder).withColumn("seq", order.cast("bigint")), "found")
+    _land_in_order(found, landing)
     pages, persisted = table(spark, folder, "pages"), seen(spark, folder)
+    store = CorpusTable(spark, work_path(spark, "page-table"), buckets=8)
 
-    def fresh(batch):
-        return align_schema(dedup_against_corpus(batch, persisted, visit_order()), ITEMS)
+    def shaped(batch):
+        """First offers of URLs that are not persisted, stored or rejected yet, with their page's text."""
+        known = known_urls(persisted, store.read(), _stored_rejects(spark, rejected))
+        fresh = align_schema(dedup_against_corpus(batch, known, visit_order()), ITEMS)
+        return shaped_articles(with_page_text(fresh, pages))
 
-    store = CorpusTable(spark, work_path(spark, "page-table"), buckets=8)
     run = ingest_stream(
-        file_stream(spark, landing, found.schema), store, "pages", work_path(spark, "page-checkpoint"),
-        lambda batch: to_corpus_batch(to_articles(fresh(batch), pages)),
-        rejects=lambda batch: to_rejects(fresh(batch), pages).select("url", "content_id", "bucket"), rejects_path=rejected,
+        file_stream(spark, landing, found.schema, files_per_batch=1), store, "pages", work_path(spark, "page-checkpoint"),
+        lambda rows: to_corpus_batch(valid_articles(rows)), prepare=shaped,
+        rejects=lambda rows: rejected_articles(rows).select(*REJECTED), rejects_path=rejected,
     )
     run.awaitTermination()
     kept = store.read().select("url", "content_id", "bucket", F.lit(True).alias("kept"))
-    left = spark.read.parquet(f"{rejected}/*").select("url", "content_id", "bucket", F.lit(False).alias("kept"))
-    return kept.unionByName(left)
+    return kept.unionByName(_stored_rejects(spark, rejected).withColumn("kept", F.lit(False)))
+
+
+REJECTED = ("url", "content_id", "bucket")
+LANDED_ROWS = 100_000
+
+
+def _land_in_order(found, landing: str) -> None:
+    """Files of consecutive rows, one after the other: the stream takes them in the order of their times."""
+    files = max(3, -(-found.count() // LANDED_ROWS))
+    cuts = found.approxQuantile("seq", [i / files for i in range(1, files)], 0.01)
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = found if low is None else found.where(F.col("seq") > low)
+        part = part if high is None else part.where(F.col("seq") <= high)
+        part.coalesce(1).write.mode("append").parquet(landing)
+
+
+def _stored_rejects(spark, path: str):
+    schema = ", ".join(f"{c} string" for c in REJECTED)
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -79,12 +79,28 @@ def _narrow_to_page(rows: DataFrame, offset: int, limit: int) -> tuple[DataFrame
     return rows, offset
 
 
+def _fetched(corpus: DataFrame, page: DataFrame, truncate: bool = False) -> DataFrame:
+    """The articles of a page of (date, url), at most 100 rows.
+
+    The page is picked on these two columns; contents are read for its dates and URLs only,
+    which reach the files' statistics.
+    """
+    names = page.select(F.unix_micros("date").alias("at"), "url").collect()
+    times = [r["at"] for r in names if r["at"] is not None]
+    near = F.col("date").isNull() if len(times) < len(names) else F.lit(False)
+    if times:
+        ends = (F.expr(f"timestamp_micros({t})") for t in (min(times), max(times)))
+        near = near | F.col("date").between(*ends)
+    rows = corpus.where(F.col("url").isin([r["url"] for r in names]) & near)
+    return article_projection(rows.orderBy(*newest_first()), truncate)
+
+
 def browse_articles(corpus: DataFrame, limit: int = 10, offset: int = 0, **filters) -> DataFrame:
     """One page of the filtered corpus, newest first."""
     check_range("limit", limit, 1, 100)
     check_range("offset", offset, 0, None)
     rows, left = _narrow_to_page(where_corpus(corpus, **filters), offset, limit)
-    return article_projection(rows.orderBy(*newest_first()).offset(left).limit(limit))
+    return _fetched(corpus, rows.select("date", "url").orderBy(*newest_first()).offset(left).limit(limit))
 
 
 def browse_after(corpus: DataFrame, limit: int, after_date, after_url: str, **filters) -> DataFrame:
@@ -96,7 +112,7 @@ def browse_after(corpus: DataFrame, limit: int, after_date, after_url: str, **fi
     else:
         at = F.lit(after_date).cast("timestamp")
         behind = (F.col("date") < at) | ((F.col("date") == at) & (F.col("url") > after_url)) | F.col("date").isNull()
-    return article_projection(rows.where(behind).orderBy(*newest_first()).limit(limit))
+    return _fetched(corpus, rows.where(behind).select("date", "url").orderBy(*newest_first()).limit(limit))
 
 
 def keyword_search(corpus: DataFrame, q: str, limit: int = 10, **filters) -> DataFrame:
@@ -104,8 +120,8 @@ def keyword_search(corpus: DataFrame, q: str, limit: int = 10, **filters) -> Dat
     if not q:
         raise ValueError("q must not be empty")
     check_range("limit", limit, 1, 50)
-    hits = keyword_match(where_corpus(corpus, **filters), q)
-    return article_projection(hits.orderBy(*newest_first()).limit(limit), truncate=True)
+    hits = keyword_match(where_corpus(corpus, **filters), q).select("date", "url")
+    return _fetched(corpus, hits.orderBy(*newest_first()).limit(limit), truncate=True)
 
 
 def _bounded(df: DataFrame) -> DataFrame:

@@ -135,8 +135,8 @@ class CorpusTable:
             kept = live.where(F.col("ub").isin(rewritten)).join(new.select("url"), "url", "left_anti")
             new = new.unionByName(kept.select(new.columns))
         commit = state.latest + 1
-        # A plain hash shuffle on the partition column, salted so that a bucket may use several tasks.
-        spread = new.repartition("ub", F.pmod(F.xxhash64("content_id"), F.lit(4)))
+        # By size: AQE gives a large bucket several tasks, and small ones share a task.
+        spread = new.hint("rebalance", "ub")
         spread.sortWithinPartitions("ub", "date").write.mode("overwrite").partitionBy("ub").parquet(f"{self.root}/rows/commit={commit}")
         if self.stats:
             self._write_stats(state, live, changes, rewritten, commit)
@@ -149,7 +149,7 @@ class CorpusTable:
         """Rewrite the current version as one commit, so that readers open few files."""
         state = _state(self.spark, self.root)
         commit = state.latest + 1
-        live = self._live(state).repartition("ub", F.pmod(F.xxhash64("content_id"), F.lit(4)))
+        live = self._live(state).hint("rebalance", "ub")
         live.sortWithinPartitions("ub", "date").write.mode("overwrite").partitionBy("ub").parquet(
             f"{self.root}/rows/commit={commit}"
         )

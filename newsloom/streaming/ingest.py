@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,15 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
 def ingest_stream(
     items: DataFrame, table: CorpusTable, name: str, checkpoint: str, to_batch: Callable[[DataFrame], DataFrame],
     jsonl_path: str | None = None, rejects: Callable[[DataFrame], DataFrame] | None = None, rejects_path: str | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Start ingestion of all available input; the query ends when it is drained.
 
     ``to_batch`` turns a micro-batch of items into corpus rows with ``seq``. The table
     records ``name`` and the batch id, so a batch that is delivered again after a failure is
     skipped. ``name`` must be the stream's own: ids start at 0 in every stream. Rows that
-    ``rejects`` gives of a micro-batch go to ``rejects_path``, a folder per batch.
+    ``rejects`` gives of a micro-batch go to ``rejects_path``, a folder per batch. ``prepare``
+    is what both have in common: it is computed once, against the table as the batch finds it.
     """
 
     def apply(micro_batch: DataFrame, batch_id: int) -> None:
@@ -39,6 +42,8 @@ def ingest_stream(
         if has_tag(table.spark, table.root, tag):
             return
         with scratch(table.spark):
+            if prepare is not None:
+                micro_batch = materialize(prepare(micro_batch), "prepared")
             if rejects is not None and rejects_path is not None:
                 rejects(micro_batch).write.mode("overwrite").parquet(f"{rejects_path}/{tag}")
             rows = materialize(to_batch(micro_batch), "micro-batch")
@@ -52,6 +57,12 @@ def ingest_stream(
     )
 
 
+def known_urls(*tables: DataFrame) -> DataFrame:
+    """The normalized URLs of tables that hold raw ones, or hold them in ``url_norm``."""
+    own = lambda t: F.col("url_norm") if "url_norm" in t.columns else normalize_url(F.col("url")).alias("url_norm")
+    return reduce(DataFrame.unionByName, [t.select(own(t)) for t in tables])
+
+
 def dedup_against_corpus(micro_batch: DataFrame, corpus: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The first row in ``order`` of each new URL of a micro-batch; the state is the corpus table itself."""
     keyed = micro_batch.withColumn("url_norm", normalize_url(F.col("url")))
