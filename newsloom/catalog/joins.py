@@ -133,7 +133,7 @@ counted as (
          {_sql_words('text')} as words, {_sql_words('linked')} as links from plain where text <> ''
 ),
 around as (
-  select *, coalesce(lead(words) over w, 0) as next_words, coalesce(lag(words) over w, 0) as last_words,
+  select *, coalesce(lead(words - links) over w, 0) as next_words, coalesce(lag(words - links) over w, 0) as last_words,
          coalesce(9 * lag(links) over w > 5 * lag(words) over w, false) as after_menu
   from counted window w as (partition by page_id order by block)
 ),

@@ -99,9 +99,12 @@ def text_blocks(html: Column) -> Column:
 
 
 def is_main(block: Column, before: Column, after: Column) -> Column:
-    """Whether a block is main text, by its own words and links and those of the blocks around it."""
-    words, next_words = block["words"], F.coalesce(after["words"], F.lit(0))
-    last_words = F.coalesce(before["words"], F.lit(0))
+    """Whether a block is main text, by its own words and links and those of the blocks around it.
+
+    Words of neighbours inside links do not count: a line beside a menu is no text for that.
+    """
+    words, next_words = block["words"], F.coalesce(after["words"] - after["links"], F.lit(0))
+    last_words = F.coalesce(before["words"] - before["links"], F.lit(0))
     after_menu = F.coalesce(9 * before["links"] > 5 * before["words"], F.lit(False))
     among_text = (words > 16) | (next_words > 15) | (last_words > 4)
     behind_menu = (words > 40) | (next_words > 17)

@@ -225,8 +225,8 @@ def rule_is_main(blocks, i):
     if links / words > 1 / 3:
         return False
     if before[0] and before[1] / before[0] > 5 / 9:
-        return words > 40 or after[0] > 17
-    return words > 16 or after[0] > 15 or before[0] > 4
+        return words > 40 or after[0] - after[1] > 17
+    return words > 16 or after[0] - after[1] > 15 or before[0] - before[1] > 4
 
 
 def test_blocks_are_judged_by_the_tree(spark):
