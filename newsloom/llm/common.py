@@ -99,12 +99,13 @@ def without_rows(docs: DataFrame, dropped: DataFrame, doubled: DataFrame) -> Dat
     """``docs`` less the rows named in ``dropped`` (id, mark), and one of each in ``doubled``.
 
     Both are stored tables. ``doubled`` names rows to keep that occur more than once, equal in
-    id and text; there are none unless rows were repeated.
+    id and text; there are none unless rows were repeated. The names are dealt out with the
+    rows at any size: they grow with the input, so a broadcast would only suit small ones.
     """
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("m"))
     named = lambda rows: rows.select("id", F.col("mark").alias("m"))
     marked = docs.select(F.struct("*").alias("doc"), "doc_id", text_mark())
-    kept = marked.join(named(dropped), same, "left_anti")
+    kept = marked.join(named(dropped).hint("merge"), same, "left_anti")
     if not doubled.isEmpty():
         once = kept.join(named(doubled), same, "left_semi").dropDuplicates(["doc_id", "mark"])
         kept = kept.join(named(doubled), same, "left_anti").unionByName(once)

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from newsloom.session import materialize
 
-MOST_ROUNDS = 60
-
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select("a", "b")
@@ -37,7 +35,7 @@ def connected(links: DataFrame, label: str = "links") -> DataFrame:
     """(node, root): the smallest node of each node's component."""
     links = materialize(links.select("a", "b").where("a <> b").distinct(), label)
     state = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # the rounds grow with the logarithm of the number of links
         links = materialize(_star(_star(links, True), False), label)
         now = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
@@ -48,4 +46,3 @@ def connected(links: DataFrame, label: str = "links") -> DataFrame:
                 links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         state = now
-    raise RuntimeError("components did not settle")
