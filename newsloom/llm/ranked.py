@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from newsloom.llm.common import in_batches
 from newsloom.session import materialize
 
-WORDS_PER_SHARD = 4_000_000
+WORDS_PER_SHARD = 2_000_000
 POSTINGS_PER_BLOCK = 128
 ITEMS_PER_BLOCK = 512
 DOCUMENTS_PER_WINDOW = 2048
