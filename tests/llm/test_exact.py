@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from newsloom.llm import exact, fuse
+from newsloom.session import materialize
 from pyspark.sql import functions as F
 from tests.llm.frames import frame, odd_rows, prose
 
@@ -74,6 +75,6 @@ def test_a_large_batch_on_a_small_snapshot_is_dealt_over_buckets(spark, monkeypa
     rows = [(-(10**9), "first")] + [(i, f"text {i % 50}") for i in range(60)] + [(99, "first")]
     docs, used, screen = frame(spark, rows), [], exact.screen
     monkeypatch.setattr(exact, "screen", lambda new, filters, n: used.append(n) or screen(new, filters, n))
-    made = exact.digests(docs, exact.halves(docs).alias("batch")).localCheckpoint()
+    made = materialize(exact.digests(docs, exact.halves(docs).alias("batch")), "test-digests")
     groups = exact.merged_groups(made, docs, 2, keys_per_bucket=10).collect()
     assert used == [6] and sorted(r["n"] for r in groups) == [1] * 40 + [2] * 11
