@@ -22,7 +22,7 @@ HEADLINE = (
     "normalize_text", "content_id", "normalize_url", "page_text", "classify_signal", "is_topic_article",
     "browse_articles", "keyword_search", "semantic_search", "semantic_search_filtered", "cosine_topk",
     "cosine_topk_batch", "approx_topk", "corpus_stats", "top_publishers", "daily_timeline", "embedding_stats",
-    "main_text", "keyword_search_indexed", "kept_stats", "stream_dup_rate",
+    "main_text", "keyword_search_indexed", "stream_dup_rate",
     "feed_items", "api_items", "admit_static", "admit_adaptive", "rolling_dup_rate", "attach_page_text",
     "ingest_pages", "encode_hashed", "embed_incremental", "upsert_corpus", "upsert_vectors", "ingest_stream",
 )
