@@ -182,38 +182,40 @@ def near_in_group(words: list[str], least: np.ndarray, ends: np.ndarray, grams:
     Word i has the grams from ``ends[i - 1]`` to ``ends[i]``. The lists of its grams are merged
     by counting how often each other word is in them.
     """
-    letters = [w.encode("latin-1") for w in words]
+    order = np.argsort([len(w) for w in words], kind="stable")  # a word is compared with those of its length and the next
+    letters = [words[i].encode("latin-1") for i in order]
     lengths = np.fromiter(map(len, letters), np.int64, len(letters))
-    width, n = int(lengths.max()) + 1, len(letters)  # rows end in a 0, which is no letter
+    width, n = int(lengths[-1]) + 1, len(letters)  # rows end in a 0, which is no letter
     front = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in letters), np.uint8).reshape(n, width)
     back = np.frombuffer(b"".join(w[::-1].ljust(width, b"\0") for w in letters), np.uint8).reshape(n, width)
-    sizes = np.diff(ends, prepend=0)
-    by_gram = np.argsort(grams, kind="stable")
-    owner, listed = np.repeat(np.arange(n), sizes)[by_gram], grams[by_gram]
-    low = np.searchsorted(listed, grams, "left")
-    count = np.searchsorted(listed, grams, "right") - low
-    ahead = np.concatenate([[0], np.cumsum(count)])  # entries of the lists of all grams before
+    least, side = np.maximum(least[order], 1), side[order]
+    sizes = np.diff(ends, prepend=0)[order]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    moved = np.repeat((ends[order] - sizes) - starts[:-1], sizes) + np.arange(starts[-1])
+    _, gram = np.unique(grams[moved], return_inverse=True)
+    entries = np.sort(gram * n + np.repeat(np.arange(n), sizes))  # the lists, one behind the other
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     begin = 0
     while begin < n:
-        first = int(ends[begin - 1]) if begin else 0
-        stop = begin + max(1, _CELLS // n)
-        stop = min(stop, max(begin + 1, int(np.searchsorted(ahead[ends], ahead[first] + _CELLS))), n)
-        part = slice(first, int(ends[stop - 1]))
-        at = np.repeat(low[part] - ahead[part], count[part]) + np.arange(ahead[part.start], ahead[part.stop])
-        who = np.repeat(np.repeat(np.arange(stop - begin), sizes[begin:stop]), count[part])
-        shared = np.bincount(who * n + owner[at], minlength=(stop - begin) * n).reshape(-1, n)
-        enough = shared >= np.maximum(np.maximum(least[begin:stop, None], least[None, :]), 1)
-        a, b = np.nonzero(enough)
-        a += begin
-        longer = lengths[b] - lengths[a]
-        ok = ((longer == 1) | ((longer == 0) & (a < b))) & ((side[a] != side[b]) if split else True)
-        a, b = a[ok], b[ok]
+        last = int(np.searchsorted(lengths, lengths[begin] + 1, "right"))
+        same = int(np.searchsorted(lengths, lengths[begin], "right"))
+        stop = min(same, begin + max(1, _CELLS // (last - begin)))
+        own = gram[starts[begin] : starts[stop]]
+        low, high = np.searchsorted(entries, own * n + begin), np.searchsorted(entries, own * n + last)
+        total = np.cumsum(high - low)
+        who = np.repeat(np.repeat(np.arange(stop - begin), sizes[begin:stop]), high - low)
+        met = entries[np.repeat(low - (total - (high - low)), high - low) + np.arange(total[-1])] % n - begin
+        shared = np.bincount(who * (last - begin) + met, minlength=(stop - begin) * (last - begin)).reshape(-1, last - begin)
+        a, b = np.nonzero(shared >= np.maximum(least[begin:stop, None], least[None, begin:last]))
+        ok = a < b
+        if split:
+            ok &= side[a + begin] != side[b + begin]
+        a, b = a[ok] + begin, b[ok] + begin
         for s in range(0, len(a), _CELLS // 16):
             x, y = a[s : s + _CELLS // 16], b[s : s + _CELLS // 16]
             near = _agreeing(front[x], front[y]) + _agreeing(back[x], back[y]) >= lengths[y] - 1
-            left.append(x[near])
-            right.append(y[near])
+            left.append(order[x[near]])
+            right.append(order[y[near]])
         begin = stop
     return np.concatenate(left), np.concatenate(right)
 
