@@ -85,9 +85,9 @@ def windows_of_blocks(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _by_text(rows: DataFrame, *fields: str) -> DataFrame:
-    """One row per text with its list of blocks; no longer than the text."""
+    """One row per text with its blocks, each once however often the text is repeated; no longer than the text."""
     return rows.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
-        F.collect_list(F.struct(*fields)).alias("listed")
+        F.collect_set(F.struct(*fields)).alias("listed")
     )
 
 

@@ -59,6 +59,14 @@ def test_texts_and_factors(spark):
         assert r["kept"] == " ".join(w for i, w in enumerate(words) if i not in gone)
 
 
+def test_repeated_rows_list_their_blocks_once(spark):
+    rows = [(None, prose(5, 400))] * 60 + [(3, prose(5, 400))] * 2 + [(4, prose(6, 100))]
+    found = substring.repeated_windows(frame(spark, rows), 35, 8).collect()
+    assert found and all(len(r["listed"]) == len(set(r["listed"])) <= 400 for r in found)
+    got = substring.digest_of_rest(frame(spark, rows)).collect()
+    assert Counter(tuple(r[f] for f in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in got) == plain(rows, 35)
+
+
 def test_empty(spark):
     assert substring.digest_of_rest(frame(spark, [])).count() == 0
     assert substring.digest_of_rest(frame(spark, [(1, None), (2, "a b")])).count() == 2
