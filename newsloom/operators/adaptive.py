@@ -3,8 +3,15 @@
 Buckets are visited in turn, one page per round. While quotas do not change, what is
 accepted can be computed for all remaining pages at once; only the small control rule
 (who is still active, who donates quota) is a sequence over page counts. So the work
-goes in epochs: decide everything under the current quotas, walk the page counts until
-the rule changes a quota, keep what was accepted up to that point, start the next epoch.
+goes in epochs: decide everything under the current quotas, follow the rule until a
+quota it changed would change a decision, keep what was accepted up to that point, start
+the next epoch.
+
+The rule is followed by its change points. Quotas bound the pages on which anything is
+accepted; on all others every item is passed over, so a round of such pages that leaves
+the state as it was is repeated, unread, up to the next page that can differ. The driver
+gets the pages with accepted rows and, after a change of quota, the first page whose
+decisions it could alter; how many pages there are has no part in it.
 
 Within an epoch one URL offered by two buckets is the only tie between buckets. Which
 offer wins depends on whether the earlier one was accepted, so decisions are repeated
@@ -15,6 +22,7 @@ least the earliest open offer; without shared URLs the first pass is final.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -181,8 +189,8 @@ def _settle(epoch: _Epoch, shared: DataFrame | None, guess: DataFrame | None) ->
 UNBOUNDED = 1 << 60
 
 
-def _page_counts(totals: DataFrame, epoch: _Epoch, blocked: DataFrame | None, accepted: DataFrame, start) -> DataFrame:
-    """Per page still to visit: items, offers, accepted ones, and the greatest place an
+def _page_counts(totals: DataFrame, epoch: _Epoch, blocked: DataFrame | None, accepted: DataFrame) -> DataFrame:
+    """Pages with open offers: items, offers, accepted ones, and the greatest place an
     offer takes within its domain, which tells what caps would change the decisions."""
     offers = epoch.own_first(blocked)
     fresh = offers.groupBy("bucket", "page").agg(F.count("*").alias("fresh"))
@@ -190,12 +198,52 @@ def _page_counts(totals: DataFrame, epoch: _Epoch, blocked: DataFrame | None, ac
         F.count("*").alias("placed"), F.max("place").cast("bigint").alias("greatest")
     )
     taken = accepted.groupBy("bucket", "page").agg(F.count("*").alias("accepted"), F.max("pos").alias("last_pos"))
-    joined = totals.where(_after(start))
-    for part in (fresh, placed, taken):
+    joined = fresh.join(totals, ["bucket", "page"])
+    for part in (placed, taken):
         joined = joined.join(part, ["bucket", "page"], "left")
     need = F.when(F.col("fresh") > F.col("placed"), F.lit(UNBOUNDED)).otherwise(F.col("greatest"))
-    filled = joined.fillna(0, ["fresh", "placed", "greatest", "accepted"])
-    return filled.withColumn("need", need).orderBy("page", "bucket_pos")
+    filled = joined.fillna(0, ["placed", "greatest", "accepted"])
+    return filled.select("bucket", "page", "items", "fresh", need.alias("need"), "accepted", "last_pos")
+
+
+@dataclass
+class _Pages:
+    """What the walk asks about an epoch's pages.
+
+    ``feeds`` lists the feed pages there are, ``ends`` each bucket's last page, ``taken``
+    the pages on which rows are accepted. ``open_from(bucket, page)`` is the first page
+    from there on with offers none of which is accepted.
+    """
+
+    feeds: dict[str, set[int]]
+    ends: dict[str, int]
+    taken: dict[str, dict[int, dict]]
+    open_from: Callable[[str, int], int]
+    _open: dict[str, tuple[int, int]] = field(default_factory=dict)
+
+    def exists(self, state: BucketState, page: int) -> bool:
+        if page < state.feeds:
+            return page in self.feeds.get(state.name, ())
+        return page <= self.ends.get(state.name, -1)
+
+    def next_open(self, state: BucketState, page: int) -> int:
+        since, found = self._open.get(state.name, (UNBOUNDED, -1))
+        if not since <= page <= found:
+            found = self.open_from(state.name, page)
+            self._open[state.name] = page, found
+        return found
+
+    def next_change(self, state: BucketState, page: int, moved: bool) -> int:
+        """The first page from ``page`` on that may differ from the one before it.
+
+        Feed pages may be missing, so each is looked at, and so is the first after them.
+        """
+        if page <= state.feeds:
+            return page
+        points = [self.ends.get(state.name, -1) + 1, *self.taken.get(state.name, ())]
+        if moved:
+            points.append(self.next_open(state, page))
+        return min((p for p in points if p >= page), default=page)
 
 
 def _after(start: tuple[int, int]):
@@ -203,19 +251,23 @@ def _after(start: tuple[int, int]):
     return (F.col("page") > page) | ((F.col("page") == page) & (F.col("bucket_pos") >= pos))
 
 
-def _still_decided(state: BucketState, quota: int, page) -> bool:
+def _still_decided(state: BucketState, quota: int, number: int, pages: _Pages) -> bool:
     """Whether decisions made under ``quota`` hold for this page under the current one.
 
-    They do if no offer's place lies beyond either cap and neither quota fills up.
+    They do if no offer's place lies beyond either cap and neither quota fills up. Offers
+    none of which was accepted lie beyond the cap, or the quota was full: they may not hold.
     """
-    if state.quota == quota or not page["fresh"]:
+    if state.quota == quota:
         return True
+    page = pages.taken.get(state.name, {}).get(number)
+    if page is None:
+        return pages.next_open(state, number) != number
     cap = min(domain_cap(quota), domain_cap(state.quota))
     return page["need"] <= cap and state.count + page["accepted"] < min(quota, state.quota)
 
 
 class _Walk:
-    """The control rule over page counts. Holds one small state per bucket."""
+    """The control rule over change points. Holds one small state per bucket."""
 
     def __init__(self, states: list[BucketState], limits: Limits):
         self.states = states
@@ -227,44 +279,51 @@ class _Walk:
     def active(self) -> list[BucketState]:
         return [s for s in self.states if s.active]
 
-    def run(self, counts, start: tuple[int, int], counted_upto) -> tuple[int, int] | None:
+    def _state(self) -> list:
+        return [(s.quota, s.count, s.active, tuple(s.rates)) for s in self.states]
+
+    def run(self, pages: _Pages, start: tuple[int, int], counted_upto) -> tuple[int, int] | None:
         """Visit pages from ``start``; returns where the next epoch begins, None at the end."""
         decided_for = {s.name: s.quota for s in self.states}
-        rows = iter(counts)
-        row = next(rows, None)
         page, first = start
         while self.active():
+            # Two buckets may hand a quota to and fro within a round, so what counts is the visit.
+            before, moved = self._state(), set()
             for state in self.states[first:]:
-                here = None
-                if row is not None and (row["page"], row["bucket_pos"]) == (page, state.pos):
-                    here, row = row, None
                 if state.active and state.count >= state.quota:
                     state.active = False
-                elif state.active and here is None:
+                elif state.active and not pages.exists(state, page):
                     state.active = page < state.feeds
                 elif state.active:
-                    if not _still_decided(state, decided_for[state.name], here):
+                    if state.quota != decided_for[state.name]:
+                        moved.add(state.name)
+                    if not _still_decided(state, decided_for[state.name], page, pages):
                         self.end = (page, state.pos)
                         return self.end
-                    self._visit(state, here, counted_upto)
+                    self._visit(state, page, pages.taken.get(state.name, {}).get(page), counted_upto)
                     if self.stopped:
                         self.end = (page, state.pos + 1)
                         return None
-                if here is not None:
-                    row = next(rows, None)
+            settled = first == 0 and self._state() == before
             page, first = page + 1, 0
+            if settled:
+                page = min(pages.next_change(s, page, s.name in moved) for s in self.active())
         self.end = None
         return None
 
-    def _visit(self, state: BucketState, here, counted_upto) -> None:
-        accepted, looked_at = here["accepted"], here["items"]
-        state.count += accepted
-        if state.count >= state.quota:
-            upto = counted_upto(state.name, here["page"], here["last_pos"]) if accepted else 0
-            if upto < looked_at:
-                state.active = False
-                looked_at = upto
-        state.rates.append((looked_at - accepted) / looked_at if looked_at else 0.0)
+    def _visit(self, state: BucketState, page: int, here, counted_upto) -> None:
+        """``here`` is the page's counts, None if nothing on it is accepted."""
+        accepted, rate = 0, 1.0
+        if here is not None:
+            accepted, looked_at = here["accepted"], here["items"]
+            state.count += accepted
+            if state.count >= state.quota:
+                upto = counted_upto(state.name, page, here["last_pos"])
+                if upto < looked_at:
+                    state.active = False
+                    looked_at = upto
+            rate = (looked_at - accepted) / looked_at
+        state.rates.append(rate)
         while len(state.rates) > self.limits.window_pages:
             state.rates.popleft()
         if accepted < self.limits.low_yield:
@@ -287,6 +346,20 @@ class _Walk:
             taker.quota = min(self.limits.max_quota, taker.quota + gift)
 
 
+def _epoch_pages(counts: DataFrame, feeds: dict[str, set[int]], ends: dict[str, int]) -> _Pages:
+    """``counts`` is a stored table; the quotas bound its pages with accepted rows."""
+    taken: dict[str, dict[int, dict]] = {}
+    for row in counts.where("accepted > 0").collect():
+        taken.setdefault(row["bucket"], {})[row["page"]] = row.asDict()
+    idle = counts.where("accepted = 0")
+
+    def open_from(bucket: str, page: int) -> int:
+        found = idle.where((F.col("bucket") == bucket) & (F.col("page") >= page)).agg(F.min("page").alias("page")).first()
+        return UNBOUNDED if found["page"] is None else found["page"]
+
+    return _Pages(feeds, ends, taken, open_from)
+
+
 @dataclass
 class Admission:
     items: DataFrame
@@ -306,7 +379,7 @@ def admit_adaptive(
     states = [BucketState(name, i, feeds, limits.init_quota) for i, (name, feeds) in enumerate(buckets)]
     keys = materialize(_reachable(candidate_keys(items), states), "candidates")
     totals = materialize(
-        keys.groupBy("bucket", "bucket_pos", "page").agg(F.count("*").alias("items")), "page-totals"
+        keys.groupBy("bucket", "page").agg(F.count("*").alias("items")), "page-totals"
     )
     # A repeat of a URL on the same page can never be accepted.
     offers = (
@@ -328,6 +401,11 @@ def admit_adaptive(
         on_page = (F.col("bucket") == bucket) & (F.col("page") == page) & (F.col("pos") <= pos)
         return keys.where(on_page).count()
 
+    feeds_of = F.element_at(F.create_map(*[F.lit(x) for s in states for x in (s.name, s.feeds)]), F.col("bucket"))
+    feeds: dict[str, set[int]] = {}
+    for row in totals.where(F.col("page") < feeds_of).select("bucket", "page").collect():
+        feeds.setdefault(row["bucket"], set()).add(row["page"])
+    ends = {row["bucket"]: row["end"] for row in totals.groupBy("bucket").agg(F.max("page").alias("end")).collect()}
     bound = max(limits.target_total, limits.max_quota * len(states))
     walk = _Walk(states, limits)
     start: tuple[int, int] | None = (0, 0)
@@ -342,8 +420,8 @@ def admit_adaptive(
             used = done.groupBy("bucket", "domain").agg(F.count("*").alias("used"))
         epoch = _Epoch(open_keys, {s.name: s for s in states}, used, limits, bound)
         accepted, blocked = _settle(epoch, shared, blocked)
-        counts = _page_counts(totals, epoch, blocked, accepted, start).toLocalIterator()
-        start = walk.run(counts, start, counted_upto)
+        counts = materialize(_page_counts(totals, epoch, blocked, accepted), "page-counts")
+        start = walk.run(_epoch_pages(counts, feeds, ends), start, counted_upto)
         kept.append(accepted if walk.end is None else accepted.where(~_after(walk.end)))
     admitted = reduce(DataFrame.unionByName, kept).select(*ITEM_KEY)
     chosen = items.join(hint_small(admitted, bound), list(ITEM_KEY), "left_semi")

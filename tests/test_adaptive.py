@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from newsloom.operators.adaptive import Limits, admit_adaptive
+from newsloom.operators.adaptive import UNBOUNDED, BucketState, Limits, _Pages, _Walk, admit_adaptive
 from newsloom.operators.admission import admit_static
 
 
@@ -104,3 +104,62 @@ def test_without_donations_it_is_the_static_rule(spark):
     got, df, seen_df = admit(spark, items, seen, [(b, 100) for b, _ in buckets], limits)
     static = admit_static(df, seen_df, 30, buckets=len(buckets))
     assert accepted(got) == sorted((r["bucket"], r["page"], r["pos"]) for r in static.select("bucket", "page", "pos").collect())
+
+
+class EveryPage(_Pages):
+    """Counts the pages asked for, and passes over none of them."""
+
+    def next_change(self, state, page, moved):
+        return page
+
+
+def random_pages(rng, kind):
+    """A bucket accepts on few pages out of many; a few others hold open offers."""
+    states = [BucketState(n, i, rng.choice([0, 2, 4]), rng.choice([20, 30])) for i, n in enumerate("abc")]
+    feeds = {s.name: {p for p in range(s.feeds) if rng.random() < 0.8} for s in states}
+    ends = {s.name: rng.choice([s.feeds - 1, 40, 700]) for s in states}
+    taken, idle = {}, {}
+    for s in states:
+        there = sorted(feeds[s.name]) + list(range(s.feeds, ends[s.name] + 1))
+        hit = rng.sample(there, min(len(there), rng.choice([0, 3, 10])))
+        taken[s.name] = {}
+        for p in hit:
+            n = rng.randint(1, 4)
+            taken[s.name][p] = {"accepted": n, "items": n + rng.randint(0, 6), "need": rng.randint(1, 4), "last_pos": 0}
+        idle[s.name] = sorted(rng.sample([p for p in there if p not in taken[s.name]], min(len(there) - len(hit), rng.choice([0, 0, 2]))))
+
+    def open_from(bucket, page):
+        return min((p for p in idle[bucket] if p >= page), default=UNBOUNDED)
+
+    return states, kind(feeds, ends, taken, open_from)
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_passing_over_pages_changes_nothing(seed):
+    limits = Limits(
+        target_total=random.Random(seed).choice([15, 30, 1000]), init_quota=20, min_quota=3, max_quota=60,
+        max_donation=5, low_yield=3, bad_rate=0.5, window_pages=4,
+    )
+    runs = []
+    for kind in (_Pages, EveryPage):
+        states, pages = random_pages(random.Random(seed), kind)
+        walk = _Walk(states, limits)
+        upto = lambda bucket, page, pos: pages.taken[bucket][page]["accepted"]  # noqa: B023, E731
+        again = walk.run(pages, (0, 0), upto)
+        runs.append((again, walk.end, walk.stopped, [(s.quota, s.count, s.active, list(s.rates)) for s in states]))
+    assert runs[0] == runs[1]
+
+
+def test_rounds_follow_the_accepted_pages_not_all_pages():
+    states = [BucketState("a", 0, 0, 20), BucketState("b", 1, 0, 20)]
+    row = {"accepted": 4, "items": 4, "need": 1, "last_pos": 0}
+    asked = []
+
+    class Counted(_Pages):
+        def exists(self, state, page):
+            asked.append(page)
+            return super().exists(state, page)
+
+    pages = Counted({}, {"a": 10**7, "b": 10**7}, {"a": {0: row, 5_000_000: row}, "b": {3: row}}, lambda bucket, page: UNBOUNDED)
+    assert _Walk(states, SMALL).run(pages, (0, 0), None) is None
+    assert len(asked) < 100 and [s.count for s in states] == [8, 4]
