@@ -60,7 +60,8 @@ def mix_cuts(
     """Per source: target, whole epochs, and where the last epoch is cut.
 
     ``rows`` is a stored table (doc_id, source, size, key). A row ahead of ``cut`` in the
-    order (key, doc_id, size) is taken once more, a row at it for ``cut_words`` words.
+    order (key, doc_id, size) is taken once more; the ``cut_rows`` rows at it share
+    ``cut_words`` words, one after the other.
     """
     sources = source_targets(rows, weights, most)
     budget = F.floor(F.col("target") + 0.5).cast("long")
@@ -84,13 +85,37 @@ def mix_cuts(
     ahead = Window.partitionBy("rank").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     run = F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(ahead), F.lit(0))
     cut = inside.withColumn("run", run).where("run <= rest and rest < run + size * n")
-    cut = cut.select("rank", at.alias("cut"), F.floor((F.col("rest") - F.col("run")) / F.col("n")).cast("long").alias("cut_words"))
+    cut = cut.select("rank", at.alias("cut"), (F.col("rest") - F.col("run")).alias("cut_words"), F.col("n").alias("cut_rows"))
     return materialize(sources.join(cut, "rank", "left"), "mix-cuts")
 
 
+def _at_cut() -> Column:
+    return F.coalesce(F.struct("key", "doc_id", "size") == F.col("cut"), F.lit(False))
+
+
+def placed_at_cut(told: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``told`` with ``place``: the number, from 0, of a row among those equal to it at the cut.
+
+    Where ids are not repeated, a source has one such row and nothing is numbered. Otherwise
+    the rows at a cut are written with the number of their task; one count per task and
+    source gives each task its first place, so no task sees more than another one wrote.
+    """
+    if cuts.where("cut_rows > 1").isEmpty():
+        return told.withColumn("place", F.lit(0).cast("long"))
+    equal = materialize(told.where(_at_cut()).withColumn("_task", F.spark_partition_id()), "mix-equal")
+    counts = equal.groupBy("rank", "_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("rank").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("rank", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("rank", "_task").orderBy("mix")) - 1
+    numbered = equal.withColumn("_own", own).join(starts, ["rank", "_task"])
+    numbered = numbered.select(*told.columns, (F.col("_start") + F.col("_own")).alias("place"))
+    return told.where(~_at_cut()).withColumn("place", F.lit(0).cast("long")).unionByName(numbered)
+
+
 def words_taken() -> Column:
     at = F.struct("key", "doc_id", "size")
-    extra = F.when(at < F.col("cut"), F.col("size")).when(at == F.col("cut"), F.col("cut_words")).otherwise(F.lit(0))
+    left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut_words") - F.col("place") * F.col("size")))
+    extra = F.when(at < F.col("cut"), F.col("size")).when(_at_cut(), left).otherwise(F.lit(0))
     return (F.col("whole") * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long")
 
 
@@ -119,16 +144,18 @@ def mix_sources(
     times, and one document per source in part.
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own, last.
-    Null doc_id: hashed as a constant. Rows that repeat a doc_id have the same key; rows equal
-    in (doc_id, size) at the cut share what is left, each the same whole number of words.
+    Null doc_id: hashed as a constant. Rows that repeat a doc_id have the same key; of rows equal
+    in (doc_id, size) at the cut as many are taken whole as fit, and the next one in part.
     Empty input: no rows. Other columns are not looked at.
     """
     rows = materialize(keyed(docs, seed=seed), "mix-rows")
     cuts = mix_cuts(rows, weights, most, rows_per_block)
-    own = cuts.select(F.col("source").alias("_s"), "source_size", "target", "whole", "cut", "cut_words")
-    return rows.join(own, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "size", "source_size", "target", words_taken().alias("taken")
+    own = cuts.select(F.col("source").alias("_s"), "rank", "source_size", "target", "whole", "cut", "cut_words")
+    told = rows.join(own, F.col("source").eqNullSafe(F.col("_s")))
+    told = told.select(
+        "doc_id", "size", "key", "rank", "source_size", "target", "whole", "cut", "cut_words", F.col("doc_id").alias("mix")
     )
+    return placed_at_cut(told, cuts).select("doc_id", "size", "source_size", "target", words_taken().alias("taken"))
 
 
 def mixed_documents(
@@ -142,11 +169,15 @@ def mixed_documents(
 
     A row taken in part is cut to its first words, joined by one space, and its n_chars, if
     there is such a column, to their length. Rows of which no word is taken are left out.
+    Nulls, repeated rows and empty input: as in ``mix_sources``; of rows equal in (doc_id, size)
+    at the cut, which are taken goes by the hash of their text within each task's rows.
     """
     rows = materialize(keyed(docs, seed=seed), "mix-rows")
     cuts = mix_cuts(rows, weights, most, rows_per_block)
-    own = cuts.select(F.col("source").alias("_s"), "whole", "cut", "cut_words")
-    told = keyed(docs, F.struct("*").alias("doc"), seed=seed).join(own, F.col("source").eqNullSafe(F.col("_s")))
+    own = cuts.select(F.col("source").alias("_s"), "rank", "whole", "cut", "cut_words")
+    mix = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("mix")
+    told = keyed(docs, F.struct("*").alias("doc"), mix, seed=seed).join(own, F.col("source").eqNullSafe(F.col("_s")))
+    told = placed_at_cut(told.select("doc", "doc_id", "size", "key", "rank", "whole", "cut", "cut_words", "mix"), cuts)
     told = told.select("doc", "size", words_taken().alias("taken")).where("taken > 0")
     times = F.concat(
         F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")),
