@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and random strings told from identifiers by Markov models.
 
-The values that the fixed patterns find are labelled as random strings; long tokens outside
-them that hold no digit are labelled as ordinary identifiers. Character pairs of both are counted over all rows.
+The values that the fixed patterns find are labelled as random strings. Long tokens outside them
+that hardly switch between letters and digits are labelled as ordinary: words, paths, host names,
+versions and plain numbers alike, so that holding digits says nothing by itself. Character pairs of
+both are counted over all rows.
 A long token is reported where the log-likelihood ratio of the two models is high enough.
 """
 
@@ -24,8 +26,9 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9=]"
 ALPHABET = "".join(chr(c) for c in range(0x2B, 0x7B) if chr(c).isalnum() or chr(c) in "+/_.=-")
 RANDOM_SMOOTHING, ORDINARY_SMOOTHING = 5.0, 0.5
-LEAST_RATIO = 12.0
-LEAST_PER_PAIR = 0.6
+MOST_SWITCHES = 2  # between letters and digits, of a token labelled as ordinary
+LEAST_RATIO = 8.0
+LEAST_PER_PAIR = 0.4
 
 
 def base_spans(text: Column) -> Column:
@@ -64,15 +67,21 @@ def _tokens(text: Column) -> Column:
     return gated(F.rlike(text, F.lit(TOKEN)), matches(text, F.lit(TOKEN)))
 
 
+def labelled(rows: DataFrame) -> DataFrame:
+    """(v, y) from rows of ``scanned``: random strings with y = 1, ordinary ones with y = 0, copies once."""
+    ordinary = F.filter(
+        "tokens", lambda t: F.regexp_count(t["value"], F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]")) <= MOST_SWITCHES
+    )
+    of = lambda spans, y: rows.select(F.explode(F.transform(spans, lambda s: s["value"])).alias("v"), F.lit(y).alias("y"))
+    return of(F.col("base"), 1).unionByName(of(ordinary, 0)).groupBy("v", "y").agg(F.lit(1).alias("once"))
+
+
 def pair_ratios(rows: DataFrame) -> list[float]:
     """log P(b | a) in random strings less that in identifiers, for all pairs of ALPHABET in order.
 
     Counts are over all rows of ``scanned``; the driver gets at most one count per pair and class.
     """
-    samples = rows.select(F.explode(F.transform("base", lambda b: F.struct(b["value"].alias("v"), F.lit(1).alias("y")))).alias("s"))
-    ordinary = F.filter("tokens", lambda t: ~F.rlike(t["value"], F.lit("[0-9]")))
-    plain = rows.select(F.explode(F.transform(ordinary, lambda t: F.struct(t["value"].alias("v"), F.lit(0).alias("y")))).alias("s"))
-    texts = samples.unionByName(plain).groupBy("s.v", "s.y").agg(F.lit(1).alias("once"))  # copies count once
+    texts = labelled(rows)
     place = F.sequence(F.lit(1), F.char_length("v") - 1)
     pairs = texts.where(F.char_length("v") > 1).select(
         "y", F.explode(F.transform(place, lambda i: F.substr(F.col("v"), i, F.lit(2)))).alias("pair")
@@ -98,6 +107,30 @@ def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), add)
 
 
+def looks_random(token: Column, ratios: list[float], least_ratio: float, least_per_pair: float) -> Column:
+    """Whether a token's ratio is high enough; none is if ``ratios`` says nothing."""
+    if not any(ratios):
+        return F.lit(False)
+    least = F.greatest(F.lit(least_ratio), F.lit(least_per_pair) * (F.char_length(token) - 1))
+    return likelihood_ratio(token, ratios) >= least
+
+
+def held_out_rates(docs: DataFrame, least_ratio: float = LEAST_RATIO, least_per_pair: float = LEAST_PER_PAIR) -> DataFrame:
+    """How models of two thirds of the rows judge the labelled strings of the others.
+
+    Rows whose crc32(doc_id as text) mod 3 is 1 are held out (null doc_id: learned from). Columns
+    y (1 random, 0 ordinary), n (different strings of a token's least length) and n_random (those
+    judged random); strings that were also learned from are left out. No rows: no labels.
+    """
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    rows = materialize(scanned(docs).withColumn("out", out), "secrets-held-out")
+    learned, kept = rows.where(~F.col("out")), rows.where("out")
+    judged = labelled(kept).join(labelled(learned).select("v", "y"), ["v", "y"], "left_anti")
+    judged = judged.where(F.char_length("v") >= 16)
+    random = looks_random(F.col("v"), pair_ratios(learned), least_ratio, least_per_pair)
+    return judged.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(random).alias("n_random"))
+
+
 def _joined(found: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
@@ -116,12 +149,7 @@ def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO, least_per_pa
     """
     rows = materialize(scanned(docs), "secrets-scanned")
     ratios = pair_ratios(rows)
-    if not any(ratios):
-        added = F.filter("tokens", lambda t: F.lit(False))
-    else:
-        score = lambda t: likelihood_ratio(t["value"], ratios)
-        least = lambda t: F.greatest(F.lit(least_ratio), least_per_pair * (F.char_length(t["value"]) - 1))
-        added = F.filter("tokens", lambda t: score(t) >= least(t))
+    added = F.filter("tokens", lambda t: looks_random(t["value"], ratios, least_ratio, least_per_pair))
     return rows.select("doc_id", F.concat("base", _of_kind(added, KINDS.index("random"))).alias("spans"))
 
 

@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from newsloom.llm import secrets
 from tests.llm.frames import frame, odd_rows, prose
 
@@ -71,6 +74,47 @@ def test_random_strings_are_added_and_identifiers_are_not(spark):
     assert not found[904] and sum(map(len, found.values())) <= 2
 
 
+def numbers():
+    """Texts of long plain numbers, versions and host names, and one of a random string."""
+    rng = random.Random(5)
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(16))
+    rows = [(i, f"{prose(i, 8)} {number()} host{i % 7}.example-site.org release-{i}.{i % 5}.0-candidate") for i in range(2000, 2060)]
+    return rows + [(2100, f"{number()} and {number()} and x7Kq9ZtB2mWv4RsY8LpD3nHc")]
+
+
+def test_plain_numbers_are_not_added(spark):
+    rows = texts() + numbers()
+    found = {}
+    for r in secrets.find_secrets(frame(spark, rows)).collect():
+        found[r["doc_id"]] = [s["value"] for s in r["spans"] if s["kind"] == 3]
+    assert found[2100] == ["x7Kq9ZtB2mWv4RsY8LpD3nHc"] and len(found[903]) == 1
+    assert not any(found[i] for i in range(2000, 2060))
+
+
+def test_ratios_against_a_plain_count(spark):
+    rows = secrets.scanned(frame(spark, texts() + numbers()))
+    sets = {0: set(), 1: set()}
+    for r in rows.collect():
+        sets[1] |= {s["value"] for s in r["base"]}
+        sets[0] |= {t["value"] for t in r["tokens"] if len(re.findall("[A-Za-z][0-9]|[0-9][A-Za-z]", t["value"])) <= 2}
+    pairs = {y: Counter(v[i : i + 2] for v in sets[y] for i in range(len(v) - 1)) for y in sets}
+    letters = secrets.ALPHABET
+    chance = lambda y, a, b, add: (pairs[y][a + b] + add) / (sum(pairs[y][a + c] for c in letters) + add * len(letters))
+    want = [math.log(chance(1, a, b, 5.0) / chance(0, a, b, 0.5)) for a in letters for b in letters]
+    got = secrets.pair_ratios(rows)
+    assert all(abs(x - y) < 1e-4 for x, y in zip(got, want, strict=True))
+    words = ["x7Kq9ZtB2mWv4RsY", "4845168114407329", "org.example.pack"]
+    table = {a + b: got[i * len(letters) + j] for i, a in enumerate(letters) for j, b in enumerate(letters)}
+    sums = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.likelihood_ratio(F.col("w"), got).alias("s"))
+    for r in sums.collect():
+        assert abs(r["s"] - sum(table[r["w"][i : i + 2]] for i in range(15))) < 1e-6
+
+
+def test_held_out_strings(spark):
+    rates = {r["y"]: (r["n"], r["n_random"]) for r in secrets.held_out_rates(frame(spark, texts() + numbers())).collect()}
+    assert rates[1][1] >= 0.9 * rates[1][0] and rates[0][1] <= 0.05 * rates[0][0]
+
+
 def test_empty_and_no_samples(spark):
     assert secrets.secret_digests(frame(spark, [])).count() == 0
     only = secrets.secret_digests(frame(spark, [(1, None), (2, "no such thing")])).collect()
