@@ -53,36 +53,56 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return spark.read.parquet(_STORED[key])
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
-    def build() -> DataFrame:
-        return shape_articles(table(spark, folder, "documents"), table(spark, folder, "events"))
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles as far as their document tells. Written where the texts are read: none moves."""
+    return stored(spark, folder, "texts", lambda: shape_texts(table(spark, folder, "documents")).drop("text"))
+
 
-    return stored(spark, folder, "articles", build)
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Read with the columns asked for: contents move to their events only where they are."""
+    return with_events(texts(spark, folder), events_by_seq(table(spark, folder, "events")))
 
 
 def shape_articles(docs: DataFrame, raw_events: DataFrame) -> DataFrame:
-    events = raw_events.select(
-        F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type"
-    )
-    joined = docs.join(events, F.col("event_id") == F.col("doc_id") * 10, "left")
-    base = joined.select(
+    return with_events(shape_texts(docs), events_by_seq(raw_events))
+
+
+def shape_texts(docs: DataFrame) -> DataFrame:
+    base = docs.select(
         F.col("doc_id").alias("seq"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("publisher_name"),
-        F.when(F.col("doc_id") % 17 != 0, F.col("ts")).alias("date"),
         text.normalize_text(F.col("text")).alias("content"),
         F.col("lang").alias("bucket"),
         F.when(F.col("lang") == "es", "la_liga").when(F.col("lang") == "de", "serie_a").alias("league"),
-        F.col("event_type").alias("source_type"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/feed")).alias("source_feed"),
         "text",
     )
     base = keep_computed(base, lambda row: F.char_length(row["content"]) >= 10)
     titled = base.withColumn("content_id", F.sha1("content")).withColumn("title", F.substring("content", 1, 80))
-    keywords = F.array("bucket", "source_type")
-    return titled.withColumn(
-        "signal_type", topics.classify_signal(F.col("title"), F.col("content"), keywords)
+    return titled.withColumn("signal", topics.signal_parts(F.col("title"), F.col("content"), F.col("bucket")))
+
+
+def events_by_seq(raw_events: DataFrame) -> DataFrame:
+    """The events of documents: those with ten times a document's id."""
+    return raw_events.where(F.col("event_id") % 10 == 0).select(
+        F.expr("event_id div 10").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "event_type"
+    )
+
+
+def with_events(rows: DataFrame, events: DataFrame, how: str = "left") -> DataFrame:
+    """``shape_texts`` rows as articles; joined on ``seq``, by which their later joins go too."""
+    joined = rows.join(events, "seq", how)
+    known = {
+        "date": F.when(F.col("seq") % 17 != 0, F.col("ts")),
+        "source_type": F.col("event_type"),
+        "signal_type": topics.signal_with(F.col("signal"), F.col("event_type")),
+    }
+    order = (
+        "seq", "url", "publisher_name", "date", "content", "bucket", "league", "source_type", "source_feed", "text",
+        "content_id", "title", "signal_type",
     )
+    return joined.select(*[known[c].alias(c) if c in known else F.col(c) for c in order if c in known or c in rows.columns])
 
 
 def _pattern(terms: tuple[str, ...]) -> str:
@@ -111,6 +131,16 @@ titled as (
 articles as (select *, {SIGNAL_SQL} as signal_type from titled)"""
 
 
+def _first(spark: SparkSession, folder: str) -> DataFrame:
+    """(seq, ts, event_type) of the corpus' rows: the first in sequence of each content."""
+
+    def build() -> DataFrame:
+        first = texts(spark, folder).groupBy("content_id").agg(F.min("seq").alias("seq")).select("seq").distinct()
+        return first.join(events_by_seq(table(spark, folder, "events")), "seq", "left")
+
+    return stored(spark, folder, "first", build)
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """One article per content: the first in sequence. Chosen on narrow keys.
 
@@ -118,13 +148,21 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """
 
     def build() -> DataFrame:
-        rows = articles(spark, folder)
-        first = rows.groupBy("content_id").agg(F.min("seq").alias("seq"))
-        return rows.join(first.select("seq"), "seq", "left_semi").drop("text").sortWithinPartitions("date")
+        return with_events(texts(spark, folder), _first(spark, folder), "inner").sortWithinPartitions("date")
 
     return stored(spark, folder, "corpus", build)
 
 
+def corpus_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus without its contents, for queries that read none: contents stay where they are."""
+
+    def build() -> DataFrame:
+        rows = texts(spark, folder).drop("content")
+        return with_events(rows, _first(spark, folder), "inner").sortWithinPartitions("date")
+
+    return stored(spark, folder, "facts", build)
+
+
 CORPUS_SQL = ARTICLES_SQL + """,
 corpus as (
   select * exclude (text) from articles
@@ -136,7 +174,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings filed under the content id of their article; others stay without one."""
 
     def build() -> DataFrame:
-        meta = corpus(spark, folder).select("seq", "content_id", "url", "title")
+        meta = corpus_facts(spark, folder).select("seq", "content_id", "url", "title")
         joined = table(spark, folder, "embeddings").join(meta, F.col("vec_id") == F.col("seq"), "left")
         own_id = F.sha1(F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
         shown = F.when(F.col("vec_id") % 3 == 0, F.lit("")).otherwise(F.coalesce("url", F.lit("")))

@@ -47,6 +47,28 @@ def classify_signal(title: Column, excerpt: Column, keywords: Column, existing:
     return fresh if existing is None else F.coalesce(F.nullif(existing, F.lit("")), fresh)
 
 
+_OVERLAP = max(len(t) for t in TRANSFER_TERMS + TREND_TERMS) - 1
+
+
+def signal_parts(title: Column, content: Column, bucket: Column) -> Column:
+    """What ``classify_signal`` needs of a text whose last keyword is not known yet.
+
+    The class without that keyword, and the end of the text, into which a term could run.
+    """
+    parts = lambda t: F.struct(signal_of(t).alias("kind"), F.right(t, F.lit(_OVERLAP)).alias("end"))
+    return let(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")), bucket)), parts)
+
+
+def signal_with(parts: Column, keyword: Column) -> Column:
+    """``classify_signal`` with the keywords (bucket, ``keyword``), from its parts."""
+    end = F.concat_ws(" ", parts["end"], F.lower(keyword))
+    return (
+        F.when((parts["kind"] == "transfers") | mentions_any(end, TRANSFER_TERMS), "transfers")
+        .when((parts["kind"] == "trends") | mentions_any(end, TREND_TERMS), "trends")
+        .otherwise("general_news")
+    )
+
+
 def is_topic_article(
     league: Column, bucket: Column, title: Column, excerpt: Column,
     content: Column, publisher_name: Column, keywords: Column,
