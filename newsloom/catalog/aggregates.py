@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import query
 from newsloom.catalog.admission import ADMITTED_SQL, DECIDED_SQL, decided, admitted_keys
-from newsloom.catalog.fixtures import CORPUS_SQL, VECTORS_SQL, corpus, seen, sql_time, time_text, vectors
+from newsloom.catalog.fixtures import CORPUS_SQL, VECTORS_SQL, corpus, corpus_facts, seen, sql_time, time_text, vectors
 from newsloom.functions.urls import normalize_url
 from newsloom.operators import aggregates as ops
 from newsloom.session import work_path
@@ -17,7 +17,7 @@ from newsloom.streaming.rates import stream_dup_rate as ops_rates
 
 @query("total_articles", f"with {CORPUS_SQL} select count(*) as total from corpus")
 def total_articles(spark, folder):
-    return ops.total_articles(corpus(spark, folder))
+    return ops.total_articles(corpus_facts(spark, folder))
 
 
 @query(
@@ -25,22 +25,22 @@ def total_articles(spark, folder):
     f"with {CORPUS_SQL} select publisher_name, count(*) as n from corpus where publisher_name is not null group by 1 order by n desc, publisher_name limit 5",
 )
 def top_publishers(spark, folder):
-    return ops.top_publishers(corpus(spark, folder))
+    return ops.top_publishers(corpus_facts(spark, folder))
 
 
 @query("by_bucket", f"with {CORPUS_SQL} select bucket, count(*) as n from corpus where bucket is not null group by 1")
 def by_bucket(spark, folder):
-    return ops.by_bucket(corpus(spark, folder))
+    return ops.by_bucket(corpus_facts(spark, folder))
 
 
 @query("by_signal_type", f"with {CORPUS_SQL} select signal_type, count(*) as n from corpus where signal_type is not null group by 1")
 def by_signal_type(spark, folder):
-    return ops.by_signal_type(corpus(spark, folder))
+    return ops.by_signal_type(corpus_facts(spark, folder))
 
 
 @query("date_range", f"with {CORPUS_SQL} select {sql_time('min(date)')} as earliest, {sql_time('max(date)')} as latest from corpus")
 def date_range(spark, folder):
-    return ops.date_range(corpus(spark, folder)).select(
+    return ops.date_range(corpus_facts(spark, folder)).select(
         time_text("earliest").alias("earliest"), time_text("latest").alias("latest")
     )
 
@@ -51,7 +51,7 @@ def date_range(spark, folder):
     where date is not null group by 1 order by 1 desc limit 14""",
 )
 def daily_timeline(spark, folder):
-    return ops.daily_timeline(corpus(spark, folder)).withColumn("pub_day", F.col("pub_day").cast("string"))
+    return ops.daily_timeline(corpus_facts(spark, folder)).withColumn("pub_day", F.col("pub_day").cast("string"))
 
 
 @query(
@@ -60,7 +60,7 @@ def daily_timeline(spark, folder):
     union all select distinct 'signal_type', signal_type from corpus where signal_type is not null""",
 )
 def filter_values(spark, folder):
-    return ops.filter_values(corpus(spark, folder))
+    return ops.filter_values(corpus_facts(spark, folder))
 
 
 @query(
@@ -69,7 +69,7 @@ def filter_values(spark, folder):
     least(count(distinct publisher_name), 5) as top_publisher_count from corpus""",
 )
 def unique_publishers(spark, folder):
-    return ops.unique_publishers(corpus(spark, folder))
+    return ops.unique_publishers(corpus_facts(spark, folder))
 
 
 CORPUS_STATS_SQL = f"""with {CORPUS_SQL},
@@ -87,7 +87,7 @@ d as (select cast(cast(date as date) as varchar) as key, count(*) as n from corp
 
 @query("corpus_stats", CORPUS_STATS_SQL)
 def corpus_stats(spark, folder):
-    return ops.corpus_stats(corpus(spark, folder))
+    return ops.corpus_stats(corpus_facts(spark, folder))
 
 
 # Three commits that end in the corpus: a third of the rows with other facts, then two thirds, then all.
@@ -117,7 +117,7 @@ def kept_stats(spark, folder):
     from corpus""",
 )
 def embedding_stats(spark, folder):
-    return ops.embedding_stats(vectors(spark, folder), corpus(spark, folder))
+    return ops.embedding_stats(vectors(spark, folder), corpus_facts(spark, folder))
 
 
 _RATES_SQL = f"""{DECIDED_SQL},

@@ -12,6 +12,7 @@ from newsloom.catalog.fixtures import (
     VECTORS_SQL,
     articles,
     corpus,
+    corpus_facts,
     discovered,
     vectors,
 )
@@ -32,12 +33,12 @@ def query_vector(vecs) -> list[float]:
 
 @query("filter_bucket_signal", f"with {CORPUS_SQL} select url from corpus where bucket = 'en' and signal_type = 'trends'")
 def filter_bucket_signal(spark, folder):
-    return ops.filter_bucket_signal(corpus(spark, folder), "en", "trends").select("url")
+    return ops.filter_bucket_signal(corpus_facts(spark, folder), "en", "trends").select("url")
 
 
 @query("filter_publisher", f"with {CORPUS_SQL} select url from corpus where lower(publisher_name) like '%rc1%'")
 def filter_publisher(spark, folder):
-    return ops.filter_publisher(corpus(spark, folder), "RC1").select("url")
+    return ops.filter_publisher(corpus_facts(spark, folder), "RC1").select("url")
 
 
 @query(
@@ -45,7 +46,7 @@ def filter_publisher(spark, folder):
     f"with {CORPUS_SQL} select url from corpus where date >= timestamp '2024-01-05' and date < timestamp '2024-01-13'",
 )
 def filter_date_range(spark, folder):
-    return ops.filter_date_range(corpus(spark, folder), "2024-01-05", "2024-01-12").select("url")
+    return ops.filter_date_range(corpus_facts(spark, folder), "2024-01-05", "2024-01-12").select("url")
 
 
 @query(
@@ -113,7 +114,7 @@ def min_similarity(spark, folder):
 )
 def post_filter_hits(spark, folder):
     vecs = vectors(spark, folder).select("content_id", "url", "title")
-    hydrated = hydrate_hits(vecs, corpus(spark, folder), rows=1 << 40)
+    hydrated = hydrate_hits(vecs, corpus_facts(spark, folder), rows=1 << 40)
     return ops.post_filter_hits(hydrated, "serie_a", "trends").select("content_id", "bucket", "signal_type")
 
 
@@ -124,7 +125,7 @@ def post_filter_hits(spark, folder):
 )
 def filter_articles(spark, folder):
     return ops.filter_articles(
-        corpus(spark, folder), league="serie_a", signal_type="trends", date_from="2024-01-02",
+        corpus_facts(spark, folder), league="serie_a", signal_type="trends", date_from="2024-01-02",
         date_to="2024-01-20", date_column="date",
     ).select("url")
 

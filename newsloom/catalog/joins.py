@@ -11,6 +11,7 @@ from newsloom.catalog.fixtures import (
     VECTORS_SQL,
     articles,
     corpus,
+    corpus_facts,
     discovered,
     sql_time,
     table,
@@ -57,7 +58,7 @@ def already_embedded(spark, folder):
 def hydrate_hits(spark, folder):
     hits = vectors(spark, folder).select("content_id", "url", "title")
     # Every vector is a hit here: no row bound, so no broadcast hint.
-    hydrated = ops.hydrate_hits(hits, corpus(spark, folder), rows=1 << 40)
+    hydrated = ops.hydrate_hits(hits, corpus_facts(spark, folder), rows=1 << 40)
     return hydrated.select("content_id", "url", "title", "bucket", "signal_type", time_text("date").alias("date"))
 
 

@@ -61,9 +61,10 @@ def hydrate_hits(hits: DataFrame, corpus: DataFrame, rows: int) -> DataFrame:
     """Hits with their corpus row, if any. Url and title prefer the hit, '' counts as missing.
 
     The corpus is cut to the hits' ids before the outer join, so only matching rows move.
-    ``rows`` bounds the number of hits.
+    ``rows`` bounds the number of hits. A corpus without contents gives hits without.
     """
-    meta = corpus.select("content_id", *[F.col(c).alias(f"_m_{c}") for c in META_COLUMNS])
+    told = [c for c in META_COLUMNS if c != "content" or c in corpus.columns]
+    meta = corpus.select("content_id", *[F.col(c).alias(f"_m_{c}") for c in told])
     wanted = meta.join(hint_small(hits.select("content_id"), rows), "content_id", "left_semi")
     joined = hits.join(wanted, "content_id", "left")
     kept = [c for c in hits.columns if c not in ("url", "title")]
@@ -71,7 +72,7 @@ def hydrate_hits(hits: DataFrame, corpus: DataFrame, rows: int) -> DataFrame:
         *kept,
         F.coalesce(F.nullif("url", F.lit("")), "_m_url", F.lit("")).alias("url"),
         F.coalesce(F.nullif("title", F.lit("")), "_m_title").alias("title"),
-        *[F.col(f"_m_{c}").alias(c) for c in META_COLUMNS if c not in ("url", "title")],
+        *[F.col(f"_m_{c}").alias(c) for c in told if c not in ("url", "title")],
     )
 
 
