@@ -4,13 +4,16 @@ The corpus is stored newest first in blocks, one folder each; beside it, sorted
 the rows of every block that hold the trigram in title or content. A text of three letters or
 more, wildcards aside, is looked up under all its trigrams: blocks that lack one are not
 opened, and in the others only rows that hold all are compared. A common trigram has one list
-a block, so no list is longer than a block.
+a part of a block, so no list is longer than a block.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -24,6 +27,9 @@ GRAM = 3
 ROWS_PER_BLOCK = 20_000
 FIRST_BLOCKS = 4
 MOST_LISTED_BLOCKS = 1_000
+SHARDS = 64
+PART_ROWS, PART_LETTERS = 2_000, 2_000_000
+LISTS = "block int, part int, gram string, rows array<int>"
 
 
 def trigrams(text: Column) -> Column:
@@ -45,20 +51,72 @@ def needed(q: str) -> list[str]:
     return sorted({p[i : i + GRAM] for p in parts for i in range(len(p) - GRAM + 1)})
 
 
+def _posted(rows: list[int], texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct trigrams of some rows, where each one's list begins, and the lists end to end."""
+    letters = np.frombuffer("".join(t for row in texts for t in row).encode("utf-32-le"), "<u4")
+    pieces = [(at, len(t)) for at, row in enumerate(texts) for t in row]
+    owner = np.repeat([at for at, _ in pieces], [n for _, n in pieces])
+    piece = np.repeat(np.arange(len(pieces)), [n for _, n in pieces])
+    whole = np.flatnonzero(piece[: 1 - GRAM] == piece[GRAM - 1 :])
+    known, symbol = np.unique(letters, return_inverse=True)
+    gram = np.zeros(len(whole), np.int64)
+    for k in range(GRAM):
+        gram = gram * len(known) + symbol[whole + k]
+    if len(known) ** GRAM * len(rows) < 1 << 62:
+        names = None
+    else:
+        names, gram = np.unique(gram, return_inverse=True)
+    pairs = np.unique(gram * len(rows) + owner[whole])
+    gram, row = np.divmod(pairs, len(rows))
+    starts = np.flatnonzero(np.diff(gram, prepend=-1))
+    gram = gram[starts] if names is None else names[gram[starts]]
+    coded = np.stack([known[gram // len(known) ** k % len(known)] for k in reversed(range(GRAM))], axis=1)
+    spelled = coded.astype("<u4").tobytes().decode("utf-32-le")
+    return [spelled[i : i + GRAM] for i in range(0, len(spelled), GRAM)], starts, np.asarray(rows, np.int32)[row]
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of stored rows, (block, row, title, content) in lower case, a part at a time.
+
+    A part is a run of one block's rows, named by its first.
+    """
+    for batch in batches:
+        blocks, rows, titles, contents = (c.to_pylist() for c in batch.columns)
+        at = 0
+        while at < len(rows):
+            end, letters = at, 0
+            while end < len(rows) and blocks[end] == blocks[at] and end - at < PART_ROWS and letters < PART_LETTERS:
+                letters += len(titles[end]) + len(contents[end])
+                end += 1
+            texts = [list(x) for x in zip(titles[at:end], contents[at:end], strict=True)]
+            grams, starts, listed = _posted(rows[at:end], texts)
+            ends = pa.array(np.append(starts, len(listed)), pa.int32())
+            same = lambda v: pa.array(np.full(len(grams), v), pa.int32())  # noqa: B023, E731
+            lists = pa.ListArray.from_arrays(ends, pa.array(listed, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [same(blocks[at]), same(rows[at]), pa.array(grams, pa.string()), lists], ["block", "part", "gram", "rows"]
+            )
+            at = end
+
+
+def _shard(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(SHARDS)).cast("int")
+
+
 class TrigramIndex:
     """A corpus and the trigrams of its titles and contents, stored under a path."""
 
     def __init__(self, spark: SparkSession, path: str):
         columns = spark.read.parquet(f"{path}/columns").schema  # a corpus without rows has no files to tell them
         self.rows = spark.read.schema(columns.add("row", IntegerType()).add("block", IntegerType())).parquet(f"{path}/rows")
-        self.lists = spark.read.parquet(f"{path}/lists")
+        self.lists = spark.read.schema(f"{LISTS}, shard int").parquet(f"{path}/lists")
 
     @classmethod
     def build(cls, corpus: DataFrame, path: str | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> TrigramIndex:
         """Store ``corpus`` by date and index it.
 
-        Two moves: rows to their blocks, and each block's titles and contents to the task that
-        lists its trigrams; the trigrams themselves stay there. Null texts have none.
+        Two moves: rows to their blocks, and the lists to the files of their trigrams. Trigrams
+        are listed where a block's texts are read. Null texts have none.
         """
         spark = corpus.sparkSession
         path = path or work_path(spark, "trigrams")
@@ -68,17 +126,18 @@ class TrigramIndex:
         placed = dealt.withColumn("block", F.spark_partition_id()).withColumn("row", row)
         corpus.limit(0).write.parquet(f"{path}/columns")
         placed.write.partitionBy("block").parquet(f"{path}/rows")
-        stored = spark.read.schema(placed.schema).parquet(f"{path}/rows").select("block", "row", "title", "content")
-        grams = F.array_union(trigrams(F.col("title")), trigrams(F.col("content")))
-        each = stored.repartition("block").select("block", "row", F.explode(grams).alias("gram"))
-        lists = each.groupBy("block", "gram").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-        # Files by range of trigram: a look-up opens those of its trigrams.
-        lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{path}/lists")
+        stored = spark.read.schema(placed.schema).parquet(f"{path}/rows")
+        low = [F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "content")]
+        lists = stored.select("block", "row", *low).mapInArrow(_lists, LISTS).withColumn("shard", _shard(F.col("gram")))
+        # Folders by trigram, rows of a file by trigram: a look-up opens those of its trigrams.
+        dealt = lists.hint("rebalance", "shard").sortWithinPartitions("shard", "gram", "block", "part")
+        dealt.write.partitionBy("shard").parquet(f"{path}/lists")
         return cls(spark, path)
 
     def candidates(self, grams: list[str]) -> DataFrame:
         """(block, row) of the rows that hold all of ``grams``."""
-        met = self.lists.where(F.col("gram").isin(grams)).groupBy("block").agg(F.collect_list("rows").alias("lists"))
+        asked = F.col("shard").isin(*[_shard(F.lit(g)) for g in grams]) & F.col("gram").isin(grams)
+        met = self.lists.where(asked).groupBy("block", "part").agg(F.collect_list("rows").alias("lists"))
         common = F.aggregate("lists", F.get("lists", F.lit(0)), F.array_intersect)
         return met.where(F.size("lists") == len(grams)).select("block", F.explode(common).alias("row"))
 

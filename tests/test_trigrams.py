@@ -3,12 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators.filters import keyword_match
 from newsloom.operators.search import keyword_search
-from newsloom.operators.trigrams import TrigramIndex, needed, trigrams
+from newsloom.operators.trigrams import TrigramIndex, _posted, needed, trigrams
 from newsloom.schemas import CORPUS
 from newsloom.sources.union import align_schema
 
@@ -87,3 +88,33 @@ def test_empty_corpus(spark):
     empty = align_schema(spark.createDataFrame([], "url string, content_id string"), CORPUS)
     index = TrigramIndex.build(empty)
     assert index.search("abc").count() == 0 and index.match("ab").count() == 0
+
+
+def test_lists_of_a_block_in_parts(corpus, index, monkeypatch):
+    """Several parts a block, and letters of the whole of Unicode, give the same rows."""
+    monkeypatch.setattr("newsloom.operators.trigrams.PART_ROWS", 5)
+    wide = "".join(chr(0x10000 + i) for i in range(90_000)) + "\x00\x00a\x00"
+    grams, starts, rows = _posted([7, 9], [["abca", "bc"], [wide, ""]])
+    want = {"abc": {7}, "bca": {7}} | {wide[i : i + 3]: {9} for i in range(len(wide) - 2)}
+    assert {g: set(part) for g, part in zip(grams, np.split(rows, starts[1:]), strict=True)} == want
+    spark = corpus.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        parts = TrigramIndex.build(corpus, rows_per_block=37)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts.lists.groupBy("block").agg(F.count_distinct("part").alias("n")).where("n > 1").count() > 5
+    for q in ("abc", "a%bcab", "é€a"):
+        assert sorted(r["url"] for r in parts.match(q).collect()) == sorted(r["url"] for r in keyword_match(corpus, q).collect())
+
+
+def test_trigrams_are_listed_without_a_row_each(spark, tmp_path):
+    """No move of texts and no row a trigram on the way: lists leave the task that reads the texts."""
+    n = 300
+    text = "".join(chr(0x4E00 + i) for i in range(3_000))
+    df = align_schema(spark.range(n).selectExpr("cast(id as string) url", f"'{text}' content", "'c' content_id"), CORPUS)
+    index = TrigramIndex.build(df, rows_per_block=100)
+    assert index.lists.where("size(rows) = 1").isEmpty() and index.lists.columns == ["block", "part", "gram", "rows", "shard"]
+    assert len({r["shard"] for r in index.lists.where(F.col("gram") == text[:3]).select("shard").collect()}) == 1
+    plan = index.candidates([text[:3]])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [shard" in plan
