@@ -153,8 +153,9 @@ def corpus_table(spark, folder):
     store = CorpusTable(spark, work_path(spark, "table"), buckets=8)
     first, at = F.lit(STAMP).cast("timestamp"), F.lit("2026-02-02 00:00:00").cast("timestamp")
     store.upsert(articles(spark, folder).drop("text"), tag="one", batch_ts=first)
+    second = _second_batch(spark, folder)
     for _ in range(2):  # the repeated delivery changes nothing
-        store.upsert(_second_batch(spark, folder), tag="two", batch_ts=at)
+        store.upsert(second, tag="two", batch_ts=at)
     return store.read().select("url", "content_id", "title", (F.col("inserted_at") < at).alias("old"))
 
 
