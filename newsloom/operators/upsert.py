@@ -130,20 +130,26 @@ def corpus_changes(
 ) -> DataFrame:
     """Corpus rows the batch writes, one per changed URL.
 
-    ``inserted_at`` is kept for a URL that exists already. ``is_update`` tells it apart.
+    ``inserted_at`` is kept for a URL that exists already. ``is_update`` tells it apart. Both
+    are settled on narrow columns and written; the texts move once, to the rows so chosen.
     """
     stamp = F.current_timestamp() if batch_ts is None else batch_ts
     winners = winning_rows(existing, batch, block)
     payload = batch.withColumn("seq", F.col("seq").cast("bigint"))
-    chosen = payload.join(winners.select("seq"), "seq", "left_semi")
+    chosen = payload.select("seq", "url").join(winners.select("seq"), "seq", "left_semi").distinct()
     held = existing.join(winners.select("url"), "url", "left_semi").select(
         "url", F.col("inserted_at").alias("_held_at"), F.lit(True).alias("_held")
     )
-    return chosen.join(held, "url", "left").select(
-        "url", "content_id", *CORPUS_PAYLOAD,
-        normalize_url(F.col("url")).alias("url_norm"),
-        F.coalesce("_held_at", stamp).alias("inserted_at"),
-        F.coalesce("_held", F.lit(False)).alias("is_update"),
+    settled = materialize(
+        chosen.join(held, "url", "left").select(
+            F.col("seq").alias("_seq"), F.col("url").alias("_url"),
+            F.coalesce("_held_at", stamp).alias("inserted_at"), F.coalesce("_held", F.lit(False)).alias("is_update"),
+        ),
+        "settled",
+    )
+    same = (F.col("seq") == F.col("_seq")) & F.col("url").eqNullSafe(F.col("_url"))
+    return payload.join(settled, same).select(
+        "url", "content_id", *CORPUS_PAYLOAD, normalize_url(F.col("url")).alias("url_norm"), "inserted_at", "is_update"
     )
 
 

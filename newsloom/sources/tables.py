@@ -126,14 +126,15 @@ class CorpusTable:
             return 0
         state = _state(self.spark, self.root)
         live = self._live(state)
-        changes = materialize(
-            corpus_changes(live.drop("ub"), batch, batch_ts).withColumn("ub", self._bucket()), "changes"
-        )
+        changes = corpus_changes(live.drop("ub"), batch, batch_ts).withColumn("ub", self._bucket())
+        if jsonl_path is not None:
+            changes = materialize(changes, "changes")  # whole rows are written twice
         rewritten = sorted(r["ub"] for r in changes.where("is_update").select("ub").distinct().collect())
         new = changes.drop("is_update")
         if rewritten:
             kept = live.where(F.col("ub").isin(rewritten)).join(new.select("url"), "url", "left_anti")
-            new = new.unionByName(kept.select(new.columns))
+            if not kept.select("url").isEmpty():  # told by URLs; texts move where some stay
+                new = new.unionByName(kept.select(new.columns))
         commit = state.latest + 1
         # By size: AQE gives a large bucket several tasks, and small ones share a task.
         spread = new.hint("rebalance", "ub")

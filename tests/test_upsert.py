@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import kept_stats
 from newsloom.operators.aggregates import corpus_stats
-from newsloom.operators.upsert import upsert_corpus, upsert_vectors, winning_rows
+from newsloom.operators.upsert import corpus_changes, upsert_corpus, upsert_vectors, winning_rows
 from newsloom.schemas import CORPUS
 from newsloom.sources.tables import CorpusTable
 from newsloom.sources.union import align_schema
@@ -153,3 +153,14 @@ def test_stats_of_a_table_that_had_none(spark, tmp_path):
     stray = spark.createDataFrame([("total", "", 9, None, None, False)], kept_stats.STATE)
     stray.write.parquet(str(tmp_path / "t" / "stats" / "commit=9"))  # of a commit that failed
     assert stats_rows(store.read_stats()) == stats_rows(corpus_stats(store.read()))
+
+
+def test_texts_move_once_to_the_rows_that_win(spark):
+    """Held stamps and the choice are settled on (seq, url); url and seq may repeat or be null."""
+    existing, batch = tables(
+        spark, {"a": ("o", "t", OLD)}, [(1, "a", "x", "t"), (2, "a", "y", "t"), (3, None, "z", "t"), (3, "b", "w", "t")]
+    )
+    changes = corpus_changes(existing, batch, F.lit(NEW).cast("timestamp"))
+    assert changes._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = {(r["url"], r["content_id"]): (str(r["inserted_at"]), r["is_update"]) for r in changes.collect()}
+    assert got[("a", "y")] == (OLD, True) and got[("b", "w")] == (NEW, False)
